@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bytebpe, packing, telephony
+from rangeloom.llm import bytebpe, packing, pii, secrets, spans, telephony
 
 ORACLES: dict[str, str] = {}
 
@@ -47,8 +47,34 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind_no"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *(count(k) for k in secrets.BASE),
+        F.sha2(F.array_join(spans.keys(base), ","), 256).alias("base_sha256"),
+        F.array_join(spans.keys(F.col("spans")), ",").alias("spans"),
+    )
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *(count(k) for k in pii.BASE),
+        F.sha2(F.array_join(spans.keys(base), ","), 256).alias("base_sha256"),
+        F.array_join(spans.keys(F.col("spans")), ",").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_secrets": op4_secrets,
     "op7_telephony": op7_telephony,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_pii": op10_pii,
 }
