@@ -58,7 +58,7 @@ def sketch(df: DataFrame, words: int, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        for b in batches:
+        for b in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
             sets = shingle_sets(b.column(1), words)
             known = b.column(0).is_valid().to_pylist()
             fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and k else None for s, k in zip(sets, known)]

@@ -77,9 +77,9 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """
     out: list[np.ndarray] = []
     raw, at = text_buffer(texts)
-    step = 1 << 24
+    step = 1 << 21
     i = 0
-    while i < len(texts):  # slices of about 16 MB: the tables grow with them
+    while i < len(texts):  # slices of about 2 MB: the arrays take some 50 bytes a byte
         j = max(i + 1, int(np.searchsorted(at, at[i] + step, side="right")) - 1)
         words, begin = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         if len(words) >= k:
