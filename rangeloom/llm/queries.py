@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bytebpe, neardup, packing, pii, secrets, spans, telephony
+from rangeloom.llm import bytebpe, embeddings, neardup, packing, pii, secrets, spans, telephony
 
 ORACLES: dict[str, str] = {}
 
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = telephony.store_texts(_table(spark, sf_dir, "documents"))
     read = telephony.decode_media(stored, keep_pcm=False, carry=("doc_id", "n_bytes"))
@@ -79,6 +83,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
     "op4_secrets": op4_secrets,
+    "op6_embeddings": op6_embeddings,
     "op7_telephony": op7_telephony,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_pii": op10_pii,
