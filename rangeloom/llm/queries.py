@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bytebpe, embeddings, neardup, packing, pii, secrets, spans, telephony
+from rangeloom.llm import bytebpe, embeddings, lines, neardup, packing, pii, secrets, spans, telephony
 
 ORACLES: dict[str, str] = {}
 
@@ -55,6 +55,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -82,6 +87,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
+    "op3_line_dedup": op3_line_dedup,
     "op4_secrets": op4_secrets,
     "op6_embeddings": op6_embeddings,
     "op7_telephony": op7_telephony,
