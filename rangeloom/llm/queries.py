@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bytebpe, embeddings, lines, neardup, packing, pii, secrets, spans, telephony
+from rangeloom.llm import bytebpe, embeddings, lines, lm, neardup, packing, pii, secrets, spans, telephony
 
 ORACLES: dict[str, str] = {}
 
@@ -20,6 +20,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    docs = docs.select("doc_id", "text", (fold == 1).alias("held_out"))
+    model = lm.fit(docs.filter(~F.col("held_out")))
+    scored = lm.score(docs, model, carry=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +98,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_secrets": op4_secrets,
+    "op5_language_model": op5_language_model,
     "op6_embeddings": op6_embeddings,
     "op7_telephony": op7_telephony,
     "op8_byte_bpe": op8_byte_bpe,
