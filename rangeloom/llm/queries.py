@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bytebpe, embeddings, lines, lm, neardup, packing, pii, secrets, spans, telephony
+from rangeloom.llm import bytebpe, embeddings, lines, lm, neardup, packing, pii, quality, secrets, spans, telephony
 
 ORACLES: dict[str, str] = {}
 
@@ -81,6 +81,22 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _quality_fold():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.AttentionModel:
+    """The production model: labels of the folds that aren't held out."""
+    return quality.fit(docs, _table(spark, sf_dir, "labels").filter(~_quality_fold()))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model(spark, sf_dir, docs)
+    scored = quality.score(docs.select("doc_id", "text", _quality_fold().alias("held_out")), model, carry=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -102,5 +118,6 @@ QUERIES = {
     "op6_embeddings": op6_embeddings,
     "op7_telephony": op7_telephony,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }

@@ -51,17 +51,24 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case), and
-    where each text's words begin."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word (``[^\\x20\\x09-\\x0D]+``) of the texts."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~_SPACE[raw]
-    first = np.zeros(n + 1, bool)
+    first = np.zeros(len(raw) + 1, bool)
     first[at] = True  # a text's first byte never continues the text before it
     starts = np.flatnonzero(word & (first[:-1] | ~np.concatenate(([False], word[:-1]))))
     ends = np.flatnonzero(word & (first[1:] | ~np.concatenate((word[1:], [False])))) + 1
+    return starts, ends
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, spans: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word with A-Z in lower case, and where each text's words begin."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    starts, ends = spans or word_spans(raw, at)
     power, inverse = _tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[raw] * power[:n], out=sums[1:])
