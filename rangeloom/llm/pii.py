@@ -66,18 +66,20 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, text, spans)``: every personal-data span of every whole text.
 
     ``spans`` holds structs ``(kind, start, end, text, score)`` by kind as listed,
     then start. Each kind is searched left to right without overlaps; a match
     that fails its check is dropped and not tried again. A null or empty text has
     no spans (its text is returned empty); rows are kept as often as they occur.
+    With ``carry``, those columns come along in a struct ``row``.
     """
     kinds = BASE | ADDED
-    out = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    row = ["row"] if carry else []
+    out = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *(F.struct(*carry).alias(r) for r in row))
     out = out.select("*", *(sp.matches(F.col("text"), p).alias(f"m_{k}") for k, p in kinds.items()))
-    out = out.select("doc_id", "text", *(sp.positions(F.col("text"), p, F.col(f"m_{k}")).alias(f"s_{k}") for k, p in kinds.items()))
+    out = out.select("doc_id", "text", *row, *(sp.positions(F.col("text"), p, F.col(f"m_{k}")).alias(f"s_{k}") for k, p in kinds.items()))
 
     def scored(kind: str) -> Column:
         def score(s: Column) -> Column:
@@ -90,18 +92,19 @@ def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         kept = F.transform(F.filter(F.col(f"s_{kind}"), lambda s: _valid(kind, s["text"])), score)
         return kept if kind in BASE else F.filter(kept, lambda s: s["score"] >= min_score)
 
-    return out.select("doc_id", "text", F.concat(*(scored(k) for k in kinds)).alias("spans"))
+    return out.select("doc_id", "text", F.concat(*(scored(k) for k in kinds)).alias("spans"), *row)
 
 
-def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, text, spans)`` with each span's text replaced by ``<KIND>``.
 
     Overlapping spans of different kinds become one replacement, named after the
     one that starts first (at a tie the longer).
     """
-    found = find_pii(df, id_col=id_col, text_col=text_col)
+    row = ["row"] if carry else []
+    found = find_pii(df, id_col=id_col, text_col=text_col, carry=carry)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.select("doc_id", "text", "spans", ordered.alias("ordered"))
+    found = found.select("doc_id", "text", "spans", ordered.alias("ordered"), *row)
     return found.select(
-        "doc_id", sp.replace(F.col("text"), F.col("ordered"), lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("text"), "spans"
+        "doc_id", sp.replace(F.col("text"), F.col("ordered"), lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("text"), "spans", *row
     )
