@@ -1 +1 @@
-
+"""Operators on range sets."""

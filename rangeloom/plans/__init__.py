@@ -1 +1 @@
-
+"""Physical plans: bins, ordered scans, components."""
