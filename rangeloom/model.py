@@ -23,6 +23,7 @@ class Stats:
     width_95: int
     width_max: int
     has_empty: bool
+    seqs: int = 1
 
 
 class RangeSet:
@@ -77,8 +78,9 @@ class RangeSet:
         r = self.df.agg(
             F.count("*").alias("n"), F.min("start").alias("low"), F.max("end").alias("high"), F.percentile_approx(width, 0.95, 1000).alias("p"),
             F.max(width).alias("w"), F.coalesce(F.max(width <= 0), F.lit(False)).alias("e"),
+            F.approx_count_distinct("seqname").alias("s"),
         ).first()
-        return Stats(r.n, r.low or 0, r.high or 0, max(1, r.p or 1), max(1, r.w or 1), r.e)
+        return Stats(r.n, r.low or 0, r.high or 0, max(1, r.p or 1), max(1, r.w or 1), r.e, max(1, r.s))
 
     def check_circular(self, what: str) -> None:
         """Circular sequences can't be used; ones that no range lies on may be listed."""

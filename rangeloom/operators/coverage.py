@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.functions.predicate import Match
 from rangeloom.model import RangeSet, number, word
-from rangeloom.plans import binning
 from rangeloom.plans.ordered import Running, chunk_width, scan
 
 METHODS = ("auto", "sort", "hash")
@@ -24,7 +22,8 @@ def _lengths(x: RangeSet, shifted: DataFrame, width: int | None) -> DataFrame:
     return reach.select("seqname", length.alias("length")).filter("length > 0")
 
 
-def _runs(x: RangeSet, shift: int, width: int | None, weight) -> tuple[DataFrame, DataFrame]:
+def _clipped(x: RangeSet, shift: int, width: int | None, weight) -> tuple[DataFrame, DataFrame]:
+    """Shifted ranges with their weights, cut to 1 and the length; the lengths."""
     if isinstance(weight, str):
         if weight not in x.meta:
             raise ValueError(f"weight {weight!r} isn't a metadata column")
@@ -37,6 +36,11 @@ def _runs(x: RangeSet, shift: int, width: int | None, weight) -> tuple[DataFrame
     rows = x.df.select("seqname", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), value.alias("value"))
     lengths = _lengths(x, rows, None if width is None else number("width", width, 0))
     rows = rows.join(lengths, "seqname").select("seqname", F.greatest("start", F.lit(1)).alias("start"), F.least("end", "length").alias("end"), "value").filter("start <= end")
+    return rows, lengths
+
+
+def _runs(x: RangeSet, shift: int, width: int | None, weight) -> DataFrame:
+    rows, lengths = _clipped(x, shift, width, weight)
     zero = F.lit(0).cast(rows.schema["value"].dataType)
     events = (
         rows.select("seqname", F.col("start").alias("pos"), "value")
@@ -49,7 +53,7 @@ def _runs(x: RangeSet, shift: int, width: int | None, weight) -> tuple[DataFrame
     s = x.stats
     specs = [Running("value", F.col("step"), "sum"), Running("after", F.col("pos"), "next")]
     out = scan(points, ["seqname"], [F.col("pos")], specs, "pos", chunk_width(2 * s.n, s.low, s.high)).filter("after is not null")
-    return out.select("seqname", F.col("pos").alias("start"), (F.col("after") - 1).alias("end"), "value"), lengths
+    return out.select("seqname", F.col("pos").alias("start"), (F.col("after") - 1).alias("end"), "value")
 
 
 def coverage(x: RangeSet, *, shift: int = 0, width: int | None = None, weight=1, method: str = "auto", threads: int | None = None) -> DataFrame:
@@ -59,22 +63,34 @@ def coverage(x: RangeSet, *, shift: int = 0, width: int | None = None, weight=1,
     ``method`` is accepted and changes nothing.
     """
     word("method", method, METHODS)
-    runs, _ = _runs(x, shift, width, weight)
+    runs = _runs(x, shift, width, weight)
     return runs if x.genomic else runs.drop("seqname")
 
 
 def tile_coverage(x: RangeSet, *, tile_width: int, step_width: int | None = None, shift: int = 0, width: int | None = None, weight=1, method: str = "auto",
                   threads: int | None = None) -> DataFrame:
-    """Sum of the depths in each tile; tiles begin at 1 and are cut at the length."""
+    """Sum of the depths in each tile; tiles begin at 1 and are cut at the length.
+
+    With steps d at positions p, the depths before position x add up to the sum
+    of d * (x - p) over p <= x: two running sums give it at the tiles' ends.
+    """
     word("method", method, METHODS)
     tile = number("tile_width", tile_width, 1)
     step = number("step_width", tile if step_width is None else step_width, 1)
-    runs, lengths = _runs(x, shift, width, weight)
+    rows, lengths = _clipped(x, shift, width, weight)
     tiles = lengths.select("seqname", "length", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length"), F.lit(step).cast("long"))).alias("start"))
-    tiles = tiles.select(F.xxhash64("seqname", "start").alias("range_id"), "seqname", "start", F.least(F.col("start") + tile - 1, F.col("length")).alias("end"), F.lit("*").alias("strand"))
-    full = runs.filter("value <> 0").select(F.lit(0).cast("long").alias("range_id"), "seqname", "start", "end", F.lit("*").alias("strand"), "value")
-    q, s = RangeSet.of_genomic(tiles), RangeSet.of_genomic(full)
-    part = (F.least("q_end", "s_end") - F.greatest("q_start", "s_start") + 1) * F.col("s_value").cast("double")
-    sums = binning.pairs(q, s, Match(), s_meta=("value",)).groupBy(F.col("q_seqname").alias("seqname"), F.col("q_start").alias("start")).agg(F.sum(part).alias("sum"))
-    out = q.df.join(sums, ["seqname", "start"], "left").select("seqname", "start", "end", F.coalesce("sum", F.lit(0.0)).alias("coverage_sum"))
+    tiles = tiles.select("seqname", "start", F.least(F.col("start") + tile - 1, F.col("length")).alias("end"))
+    zero = F.lit(0).cast(rows.schema["value"].dataType)
+
+    def event(df: DataFrame, at, value, sign: int) -> DataFrame:
+        own = F.struct("start", "end") if sign else F.lit(None).cast("struct<start:bigint,end:bigint>")
+        return df.select("seqname", at.alias("pos"), F.lit(abs(sign)).alias("probe"), value.alias("step"), F.lit(sign).alias("sign"), own.alias("tile"))
+
+    after = F.col("end") + 1
+    events = event(rows, F.col("start"), F.col("value"), 0).union(event(rows, after, -F.col("value"), 0)).union(event(tiles, F.col("start"), zero, -1)).union(event(tiles, after, zero, 1))
+    s = x.stats
+    specs = [Running("steps", F.col("step"), "sum"), Running("moments", F.col("step") * F.col("pos"), "sum")]
+    found = scan(events, ["seqname"], [F.col("pos"), F.col("probe")], specs, "pos", chunk_width(2 * s.n, s.low, s.high)).filter("probe = 1")
+    area = (F.col("steps") * F.col("pos") - F.col("moments")) * F.col("sign")
+    out = found.groupBy("seqname", "tile.start", "tile.end").agg(F.sum(area).cast("double").alias("coverage_sum"))
     return out if x.genomic else out.drop("seqname")

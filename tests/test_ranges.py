@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import oracle
 import rangeloom as rl
+from rangeloom.operators import overlap
 from rangeloom.plans import ordered
 
 G = "range_id long, seqname string, start long, end long, strand string"
@@ -63,7 +64,9 @@ def test_tolerances_and_empty_ranges(spark):
     assert [r.overlap_count for r in rl.count_overlaps(q, s).orderBy("query_id").collect()] == [1, 1, 0, 1]
 
 
-def test_parameter_grid(spark):
+@pytest.mark.parametrize("dense", [0, 1e9])
+def test_parameter_grid(spark, monkeypatch, dense):
+    monkeypatch.setattr(overlap, "DENSE", dense)
     sets = [(draw(1, 90), draw(2, 200)), (draw(3, 60, empty=0.2), draw(4, 120, empty=0.2))]
     for q, s in sets:
         a, b = genomic(spark, q), genomic(spark, s)
@@ -94,8 +97,10 @@ def test_long_ranges_use_coarser_bins(spark):
 
 @pytest.fixture(params=[False, True], ids=["whole", "chunks"])
 def chunks(request, monkeypatch):
-    """Run scans in one window a sequence, and in many coordinate chunks."""
+    """Run scans in one window a sequence, and in many coordinate chunks, with
+    counts made without pairs."""
     if request.param:
+        monkeypatch.setattr(overlap, "DENSE", 0)
         monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 10)
 
 
