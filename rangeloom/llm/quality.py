@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +195,9 @@ def score(docs: DataFrame, model: AttentionModel, *, text_col: str = "text", car
         np.seterr(over="ignore")
         for b in batches:
             if b.num_rows:
-                out = np.concatenate([model.scores(x, sizes) for x, sizes in encode(b.column(0))])
-                yield pa.RecordBatch.from_arrays([*(b.column(i + 1) for i in range(len(carry))), pa.array(out, pa.float64())], names=[*carry, "quality_score"])
+                out = np.concatenate([model.scores(x, sizes) for x, sizes in encode(pc.fill_null(b.column(at), ""))])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), pa.array(out, pa.float64())], names=[*carry, "quality_score"])
 
-    return docs.select(text_or_empty(text_col).alias("_text"), *carry).mapInArrow(run, schema)
+    # A text that is carried along is sent once.
+    at = carry.index(text_col) if text_col in carry else len(carry)
+    return docs.select(*carry, *([] if text_col in carry else [text_or_empty(text_col).alias("_text")])).mapInArrow(run, schema)

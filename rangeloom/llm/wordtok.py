@@ -2,8 +2,8 @@
 
 White space never survives that tokenizer and never joins two tokens, so a
 text's ids are the concatenation of the ids of its white-space-separated words.
-Words repeat, so a worker keeps the ids of words it has met. The cache is only
-a speed-up; it is emptied when it reaches ``CACHE_WORDS`` entries.
+Words repeat, so a worker keeps the ids of words it has met. The caches are
+only a speed-up; each is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS, CACHE_PARTS = 300_000, 1_000_000
 _PRINTABLE = re.compile(rb"[!-~]+")
 _PRETOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -42,7 +42,7 @@ class WordTokenizer(dict):
     def _part(self, key: bytes) -> bytes:
         got = self.parts.get(key)
         if got is None:
-            if len(self.parts) >= CACHE_WORDS:
+            if len(self.parts) >= CACHE_PARTS:
                 self.parts.clear()
             got = self.parts[key] = self._direct(key.decode())
         return got
