@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm import bytebpe, embeddings, lines, lm, neardup, packing, pii, quality, secrets, spans, telephony
+from rangeloom.llm import bytebpe, embeddings, lines, lm, neardup, packing, pii, quality, secrets, spans, sql, telephony
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_minhash": sql.MINHASH, "op6_embeddings": sql.EMBEDDINGS}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
