@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 
-CACHE_WORDS, CACHE_PARTS = 300_000, 1_000_000
+CACHE_WORDS, CACHE_PARTS = 1_000_000, 1_200_000
 _PRINTABLE = re.compile(rb"[!-~]+")
 _PRETOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
