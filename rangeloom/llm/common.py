@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,13 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that earlier steps are over, so that executors delete
+    their shuffle files; otherwise these stay until it happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_path(uri: str) -> str:
     """The mounted path of a ``file:`` folder (workers open model files by path)."""
     if uri.startswith("file:"):
