@@ -2,19 +2,18 @@
 
 A line's shingles are its runs of ``SHINGLE`` UTF-16 units (a shorter line is one
 shingle). Exact copies share a class, known by two 64-bit hashes. A line's
-signature is made of the shingles that begin at a word (of three words at most; a
-run of ``LONG_WORD`` characters without a space counts as words of eight):
-``BANDS * ROWS`` minima of their hashes under different xor masks, taken by plain
-aggregates that stay inside generated code. The texts are shuffled by document first, so that this
-aggregation needs no shuffle of its own and no line, however common, gathers in
-one task. Bands of minima propose pairs: every member of a bucket with its most
+signature is made of all its shingles, the set that similarity is defined on:
+``BANDS * ROWS`` minima of their hashes under different xor masks, taken by
+plain aggregates that stay inside generated code. The texts are shuffled by
+document first, so that this aggregation needs no shuffle of its own and no line,
+however common, gathers in one task. Bands of minima propose pairs: every member of a bucket with its most
 frequent line, then members of different components with one another. Bit sets of
 the shingles' hashes rule out pairs for certain: a bit that only one line has is a
 shingle that only it has. Exact Jaccard similarity of the whole shingle sets
 confirms the rest, and distributed union-find keeps one line a component.
 
-A pair whose signatures' similarity is 0.8 shares none of the twelve bands of
-four in 0.2 % of cases, at 0.85 in 0.02 %, at 0.9 in 0.0003 %.
+A pair of similarity 0.8 shares none of the twelve bands of four in 0.2 % of
+cases, one of 0.85 in 0.02 %, one of 0.9 in 0.0003 %.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import delete_path, materialize, release, text_or_empty
 from rangeloom.llm.graph import connected_components
 
-SHINGLE, BANDS, ROWS, LONG_WORD, WORDS = 8, 12, 4, 32, 16
+SHINGLE, BANDS, ROWS, WORDS = 8, 12, 4, 16
 BROADCAST_ROWS = 500_000
 _FULL = r"[^\t\r\x20]"
 _random = random.Random(20240608)
@@ -49,6 +48,11 @@ def _shingle(units: Column, start: Column) -> Column:
     return F.substr(units, start * 2 + 1, F.lit(2 * SHINGLE))
 
 
+def _last(units: Column) -> Column:
+    """Where the last shingle begins."""
+    return F.greatest(F.lit(0), F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df``, to be broadcast if it is no longer than ``BROADCAST_ROWS``."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -57,13 +61,9 @@ def _small(df: DataFrame) -> DataFrame:
 def _signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, no, h1, h2, keys)`` of every line; ``keys`` are its bands."""
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    chopped = F.regexp_replace("line", f"([^ ]{{{SHINGLE}}})(?=[^ ]{{{SHINGLE}}})", "$1 ")
-    line = F.when(F.col("line").rlike(f"(?:^| )[^ ]{{{LONG_WORD}}}"), chopped).otherwise(F.col("line"))
-    words = _lines(texts, "doc_id", "text").select("doc_id", "no", _node("line").alias("node"), F.split(line, " ").alias("words"))
-    at = words.select("doc_id", "no", "node.h1", "node.h2", "words", F.posexplode("words").alias("i", "word"))
-    after = [F.coalesce(F.get("words", F.col("i") + k), F.lit("")) for k in (1, 2)]
-    start = F.substring(F.concat("word", F.lit(" "), after[0], F.lit(" "), after[1]), 1, SHINGLE)
-    hashes = at.select("doc_id", "no", "h1", "h2", F.xxhash64(start).alias("h"))
+    units = _lines(texts, "doc_id", "text").select("doc_id", "no", _node("line").alias("node"), F.encode("line", "UTF-16BE").alias("u"))
+    at = units.select("doc_id", "no", "node.h1", "node.h2", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
+    hashes = at.select("doc_id", "no", "h1", "h2", F.xxhash64(_shingle(F.col("u"), F.col("i"))).alias("h"))
     least = hashes.groupBy("doc_id", "no", "h1", "h2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_MASKS)))
     keys = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return least.select("doc_id", "no", "h1", "h2", F.array(*keys).alias("keys"))
@@ -73,8 +73,7 @@ def _bit_sets(lines: DataFrame) -> DataFrame:
     """``(code, bits, n)`` of candidate lines: ``WORDS`` longs of bits of their
     shingles' hashes, and how many shingles they have (repeated ones counted)."""
     units = lines.select("code", "h1", "h2", F.encode("line", "UTF-16BE").alias("u"))
-    last = F.greatest(F.lit(0), F.floor(F.octet_length("u") / 2).cast("int") - SHINGLE)
-    at = units.select("code", "h1", "h2", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    at = units.select("code", "h1", "h2", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
     hashes = at.select("code", "h1", "h2", F.xxhash64(_shingle(F.col("u"), F.col("i"))).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     word = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))

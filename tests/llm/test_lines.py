@@ -90,6 +90,19 @@ def test_odd_rows(spark):
     assert [r.text for r in dedup_lines(twice).collect()] == ["same line here"] * 3
 
 
+def test_lines_without_spaces(spark):
+    rng = random.Random(11)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(120))
+    path = "://" + "".join(rng.choice("abcdefghij/-_0123456789") for _ in range(131))
+    row = "\t".join(f"{rng.getrandbits(40):x}" for _ in range(25))
+    base64 = "".join(rng.choice("ABCDEFGHabcdefgh0123+/") for _ in range(200))
+    pairs = [(chinese, "中" + chinese), ("https" + path, "http" + path), (row, "x" + row), (row.replace("\t", ","), "x" + row.replace("\t", ",")), (base64, "Z" + base64)]
+    docs = {2 * i + k: t for i, p in enumerate(pairs) for k, t in enumerate(p)}
+    got, want = result(line_components(frame(spark, docs))), brute(docs)
+    assert all(want[2 * i + 1, 0] == (2 * i, 0) for i in range(len(pairs)))
+    assert got == want
+
+
 def test_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     first = brute(docs)
