@@ -103,6 +103,19 @@ def test_lines_without_spaces(spark):
     assert got == want
 
 
+def test_lines_of_few_words(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = {}
+    for i in range(300):
+        rest = f"{word(5)} in. {word(10)} and."
+        docs[2 * i], docs[2 * i + 1] = "T" + rest, "A t" + rest
+    similar = [i for i in range(300) if len(shingles(docs[2 * i]) & shingles(docs[2 * i + 1])) >= 0.8 * len(shingles(docs[2 * i]) | shingles(docs[2 * i + 1]))]
+    got = result(line_components(frame(spark, docs)))
+    assert len(similar) == 300
+    assert sum(got[2 * i + 1, 0] != (2 * i, 0) for i in similar) <= 4  # 0.5 expected
+
+
 def test_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     first = brute(docs)
