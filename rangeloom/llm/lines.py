@@ -3,7 +3,7 @@
 A line's shingles are its runs of ``SHINGLE`` UTF-16 units (a shorter line is one
 shingle). Exact copies share a class, known by two 64-bit hashes. A line's
 signature is made of all its shingles, the set that similarity is defined on:
-``BANDS * ROWS`` minima of their hashes under different xor masks, taken by
+``BANDS * ROWS`` minima of their hashes under different multiplications, taken by
 plain aggregates that stay inside generated code. The texts are shuffled by
 document first, so that this aggregation needs no shuffle of its own and no line,
 however common, gathers in one task. Bands of minima propose pairs: every member of a bucket with its most
@@ -30,7 +30,9 @@ SHINGLE, BANDS, ROWS, WORDS = 8, 12, 4, 16
 BROADCAST_ROWS = 500_000
 _FULL = r"[^\t\r\x20]"
 _random = random.Random(20240608)
-_MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+_LOW = (1 << 32) - 1
+# Odd, and of 31 bits: a product with 32 bits does not overflow.
+_FACTORS = [_random.getrandbits(31) | 1 for _ in range(BANDS * ROWS)]
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,8 +65,9 @@ def _signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
     units = _lines(texts, "doc_id", "text").select("doc_id", "no", _node("line").alias("node"), F.encode("line", "UTF-16BE").alias("u"))
     at = units.select("doc_id", "no", "node.h1", "node.h2", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
-    hashes = at.select("doc_id", "no", "h1", "h2", F.xxhash64(_shingle(F.col("u"), F.col("i"))).alias("h"))
-    least = hashes.groupBy("doc_id", "no", "h1", "h2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_MASKS)))
+    low = F.xxhash64(_shingle(F.col("u"), F.col("i"))).bitwiseAND(F.lit(_LOW))
+    hashes = at.select("doc_id", "no", "h1", "h2", low.alias("h"))
+    least = hashes.groupBy("doc_id", "no", "h1", "h2").agg(*(F.min((F.col("h") * F.lit(m)).bitwiseAND(F.lit(_LOW))).alias(f"m{j}") for j, m in enumerate(_FACTORS)))
     keys = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return least.select("doc_id", "no", "h1", "h2", F.array(*keys).alias("keys"))
 

@@ -116,6 +116,16 @@ def test_lines_of_few_words(spark):
     assert sum(got[2 * i + 1, 0] != (2 * i, 0) for i in similar) <= 4  # 0.5 expected
 
 
+def test_independent_minima_on_short_lines(spark):
+    rng = random.Random(13)
+    docs = {}
+    for i in range(4000):  # eight shingles in common of ten: similarity 0.8
+        docs[2 * i] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16))
+        docs[2 * i + 1] = docs[2 * i][:-1] + "0"
+    got = result(line_components(frame(spark, docs)))
+    assert sum(got[2 * i + 1, 0] != (2 * i, 0) for i in range(4000)) <= 20  # 7 expected
+
+
 def test_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     first = brute(docs)
