@@ -6,11 +6,15 @@ windows of thirty days (``orders``) and shipments (``lineitem``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import rangeloom as rl
 from rangeloom.model import RangeSet
+from rangeloom.operators.derived import numbered
+from rangeloom.plans.components import ensure_checkpoint_dir
 
 DAY, BASE = "timestamp_ntz'1992-01-01'", "timestamp_ntz'2024-01-01'"
 
@@ -226,9 +230,73 @@ def _other(df: DataFrame) -> DataFrame:
     return df.filter("query_id <> subject_id")
 
 
+def _iterator(s: SparkSession, d: str, parts: int) -> rl.OverlapIterator:
+    e = events(s, d)
+    return rl.OverlapIterator(e, e, chunk_size=-(-e.stats.n // parts), deterministic=False)
+
+
 def _iterate(s: SparkSession, d: str) -> DataFrame:
-    it = rl.OverlapIterator(e := events(s, d), e, chunk_size=1 << 30, deterministic=False)
-    return it.collect()
+    return _iterator(s, d, 1).collect()
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    it, out = _iterator(s, d, 3), None
+    while it.has_next():
+        out = it.next() if out is None else out.union(it.next())
+    return out
+
+
+def _reset(s: SparkSession, d: str) -> DataFrame:
+    it = _iterator(s, d, 4)
+    it.next()
+    return it.reset().next().union(it.collect())
+
+
+def _state(s: SparkSession, d: str) -> DataFrame:
+    it = _iterator(s, d, 2)
+    rows = [(0, it.has_next(), repr(it))]
+    for step in (1, 2):
+        it.next()
+        rows.append((step, it.has_next(), repr(it)))
+    return s.createDataFrame(rows, "step int, has_next boolean, shown string")
+
+
+def saved_index(s: SparkSession, d: str) -> rl.SubjectIndex:
+    """An index of the events, saved and loaded again in the shared folder."""
+    ensure_checkpoint_dir(s)
+    path = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}"
+    return rl.load_index(s, rl.save_index(rl.build_index(events(s, d)), path))
+
+
+def plain_events(s: SparkSession, d: str) -> RangeSet:
+    """The events on one axis, of no sequence or strand."""
+    return RangeSet.of_plain(events(s, d).df.drop("seqname", "strand"))
+
+
+def plain_days(s: SparkSession, d: str) -> RangeSet:
+    """Shipments as plain ranges of days."""
+    return RangeSet.of_plain(shipments(s, d).df.drop("seqname", "strand"))
+
+
+def _ordered(s: SparkSession, d: str) -> DataFrame:
+    """The place of each match in the deterministic order."""
+    e = events(s, d)
+    return numbered(rl.find_overlaps(e, e, max_gap=60, deterministic=True).withColumn("k", F.struct("query_id", "subject_id")), "k", "place").drop("k")
+
+
+def _as_text(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.array_join(F.col(name).cast("array<string>"), ","))
+
+
+def with_lengths(s: SparkSession, d: str) -> RangeSet:
+    x = shipments(s, d)
+    return RangeSet.of_genomic(x.df, x.df.select("seqname").distinct().select("seqname", F.lit(3000).cast("long").alias("seqlength"), F.lit(False).alias("is_circular")))
+
+
+def with_gaps(s: SparkSession, d: str) -> RangeSet:
+    """Shipments of which some have no group and no quantity."""
+    x = shipments(s, d).df
+    return RangeSet.of_genomic(x.withColumn("flag", F.when(F.col("flag") != "R", F.col("flag"))).withColumn("quantity", F.when(F.col("quantity") < 50, F.col("quantity"))))
 
 
 def _select_other(s: SparkSession, d: str, pick) -> DataFrame:
@@ -242,6 +310,56 @@ def _left(s: SparkSession, d: str) -> DataFrame:
     return rl.left_overlap_join(e, e, max_gap=60)
 
 
+PEV = EV.replace("'u' || user_id AS sq", "'range' AS sq")
+LX = LI.replace("l_returnflag AS flag", "CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS flag").replace("l_quantity AS quantity", "CASE WHEN l_quantity < 50 THEN l_quantity END AS quantity")
+NO_GROUP = (
+    f"WITH {OW}, {LX}, n AS (SELECT q.id, " + ", ".join(f"count(*) FILTER (coalesce(s.flag, '<NA>') = '{g}') AS \"{g}\"" for g in ("A", "N", "<NA>"))
+    + f" FROM ow q JOIN li s ON {_on()} GROUP BY q.id) SELECT ow.id AS query_id, " + ", ".join(f"coalesce(n.\"{g}\", 0) AS \"{g}\"" for g in ("A", "N", "<NA>")) + " FROM ow LEFT JOIN n ON n.id = ow.id"
+)
+STRICT = (
+    f"WITH {OW}, {LX}, v AS (SELECT q.id, CASE WHEN count(s.quantity) = count(*) THEN sum(s.quantity) END AS v FROM ow q JOIN li s ON {_on()} GROUP BY q.id) "
+    "SELECT ow.id AS query_id, v.v AS value FROM ow LEFT JOIN v ON v.id = ow.id"
+)
+PLAIN_REDUCE = (
+    f"WITH {PEV}, o AS (SELECT *, id AS o FROM ev), {_islands('o', 'sq', 1)} "
+    "SELECT min(st) AS start, max(en) AS \"end\", array_to_string(list_sort(list(id)), ',') AS revmap FROM isl GROUP BY isl.isl"
+)
+REVMAP = (
+    f"WITH {EV}, o AS (SELECT *, id AS o FROM ev), {_islands('o', 'sq, sd', 1)} "
+    "SELECT sq AS seqname, min(st) AS start, max(en) AS \"end\", sd AS strand, array_to_string(list_sort(list(id)), ',') AS revmap FROM isl GROUP BY sq, sd, isl.isl"
+)
+DISJOIN_MAP = (
+    f"WITH {EV}, p AS (SELECT DISTINCT sq, sd, pos FROM (SELECT sq, sd, st AS pos FROM ev UNION ALL SELECT sq, sd, en + 1 FROM ev)), "
+    "d AS (SELECT sq, sd, pos AS st, lead(pos) OVER (PARTITION BY sq, sd ORDER BY pos) - 1 AS en FROM p) "
+    "SELECT d.sq AS seqname, d.st AS start, d.en AS \"end\", d.sd AS strand, array_to_string(list_sort(list(ev.id)), ',') AS revmap "
+    "FROM d JOIN ev ON ev.sq = d.sq AND ev.sd = d.sd AND ev.st <= d.en AND ev.en >= d.st WHERE d.en IS NOT NULL GROUP BY ALL"
+)
+
+
+def _bounded_gaps(keys: str, lo: str, hi: str) -> str:
+    return (
+        f"WITH {LI}, k AS ({keys}), o AS (SELECT sq, sd, st, en, row_number() OVER () AS o FROM li), {_islands('o', 'sq, sd', 1)}, "
+        "r AS (SELECT sq, sd, min(st) AS st, max(en) AS en FROM isl GROUP BY sq, sd, isl.isl), "
+        f"f AS (SELECT sq, sd, st, en FROM r UNION ALL SELECT sq, sd, {lo}, {lo} - 1 FROM k UNION ALL SELECT sq, sd, {hi} + 1, {hi} FROM k), "
+        "g AS (SELECT sq, sd, max(en) OVER (PARTITION BY sq, sd ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS st, st - 1 AS en FROM f) "
+        f"SELECT sq AS seqname, greatest(st, {lo}) AS start, least(en, {hi}) AS \"end\", sd AS strand FROM g WHERE st IS NOT NULL AND greatest(st, {lo}) <= least(en, {hi})"
+    )
+
+
+_SHIFTED = RUNS.replace("l AS (SELECT sq, max(en) AS n FROM li GROUP BY sq)", "l AS (SELECT DISTINCT sq, 2000 AS n FROM li), c AS (SELECT sq, greatest(st - 100, 1) AS st, least(en - 100, 2000) AS en, quantity AS w FROM li WHERE st - 100 <= 2000 AND en - 100 >= 1)")
+_SHIFTED = _SHIFTED.replace("SELECT sq, st AS pos, 1 AS v FROM li UNION ALL SELECT sq, en + 1, -1 FROM li", "SELECT sq, st AS pos, w AS v FROM c UNION ALL SELECT sq, en + 1, -w FROM c").replace("(sum(v) OVER w)::BIGINT", "(sum(v) OVER w)::DOUBLE")
+PARTS = (
+    f"WITH {LI}, p AS (SELECT sq, count(*) AS n, ceil(count(*) / 2048.0)::BIGINT AS b FROM li GROUP BY sq) SELECT row_number() OVER (ORDER BY sq) AS seq_id, sq AS seqname, "
+    "(sum(n) OVER w - n + 1)::BIGINT AS partition_start, (sum(n) OVER w)::BIGINT AS partition_end, n AS n_ranges, (sum(b) OVER w - b + 1)::BIGINT AS block_start, (sum(b) OVER w)::BIGINT AS block_end, b AS n_blocks "
+    "FROM p WINDOW w AS (ORDER BY sq)"
+)
+STATE = (
+    "WITH n AS (SELECT count(*) AS n, (count(*) + 1) // 2 AS c FROM events) SELECT step::INTEGER AS step, n - step * c > 0 AS has_next, "
+    "'OverlapIterator(' || n || ' queries, chunks of ' || c || ', ' || greatest(0, n - step * c) || ' left)' AS shown FROM n, (SELECT unnest([0, 1, 2]) AS step)"
+)
+SHOWN = f"WITH {LI} SELECT 'SubjectIndex(genomic, ' || count(*) || ' ranges, ' || count(DISTINCT sq) || ' partitions)' AS shown FROM li"
+INDEX = STATS.replace("avg(n) AS mean_partition_size", "avg(n) AS mean_partition_size, (sum(n) * 40 / 1048576)::DOUBLE AS index_size_mb")
+
 _ALL = {
     "find_any": (_ev({}), _find(_on())),
     "find_ignore_strand": (_ev({"ignore_strand": True}), _find(_on(strand=False))),
@@ -296,6 +414,30 @@ _ALL = {
     "follow": (lambda s, d: rl.follow(e := events(s, d), e), _way(False)),
     "cluster": (lambda s, d: rl.cluster_overlaps(events(s, d), max_gap=60, ignore_strand=True), CLUSTER),
     "cluster_strand": (lambda s, d: rl.cluster_overlaps(events(s, d), max_gap=60), CLUSTER_STRAND),
+    "find_loaded_index": (lambda s, d: rl.find_overlaps(events(s, d), saved_index(s, d), max_gap=120), _find(_on(120))),
+    "count_indexed": (lambda s, d: rl.count_overlaps(events(s, d), rl.build_index(events(s, d)), max_gap=30), f"WITH {EV} SELECT q.id AS query_id, count(s.id) AS overlap_count FROM ev q LEFT JOIN ev s ON {_on(30)} GROUP BY q.id"),
+    "nearest_indexed": (lambda s, d: rl.nearest(events(s, d), rl.build_index(events(s, d))), NEAREST),
+    "find_ordered": (_ordered, f"SELECT query_id, subject_id, row_number() OVER (ORDER BY query_id, subject_id) AS place FROM ({_find(_on(60))})"),
+    "iter_chunks": (_chunks, _find(_on())),
+    "iter_reset": (_reset, _find(_on())),
+    "iter_state": (_state, STATE),
+    "index_shown": (lambda s, d: s.createDataFrame([(repr(rl.build_index(shipments(s, d))),)], "shown string"), SHOWN),
+    "index_partitions": (lambda s, d: rl.index_partitions(rl.build_index(shipments(s, d))), PARTS),
+    "index_stats_built": (lambda s, d: rl.index_stats(rl.build_index(shipments(s, d))), INDEX),
+    "default_threads": (lambda s, d: s.createDataFrame([(rl.default_threads(s) >= 1,)], "usable boolean"), "SELECT true AS usable"),
+    "plain_find": (lambda s, d: rl.find_overlaps(e := plain_events(s, d), e, max_gap=5), f"WITH {PEV} SELECT q.id AS query_id, s.id AS subject_id FROM ev q JOIN ev s ON {_on(5, strand=False)}"),
+    "plain_within": (lambda s, d: rl.find_overlaps(e := plain_events(s, d), e, type="within"), f"WITH {PEV} SELECT q.id AS query_id, s.id AS subject_id FROM ev q JOIN ev s ON {_on(strand=False, more='q.st >= s.st AND q.en <= s.en')}"),
+    "plain_count": (lambda s, d: rl.count_overlaps(e := plain_events(s, d), e), f"WITH {PEV} SELECT q.id AS query_id, count(s.id) AS overlap_count FROM ev q LEFT JOIN ev s ON {_on(strand=False)} GROUP BY q.id"),
+    "plain_nearest": (lambda s, d: rl.nearest(plain_events(s, d), plain_days(s, d)).select("query_id", "distance"), f"WITH {PEV}, {LI} SELECT q.id AS query_id, min(greatest(0, greatest(s.st - q.en, q.st - s.en) - 1)) AS distance FROM ev q, (SELECT DISTINCT st, en FROM li) s GROUP BY q.id"),
+    "plain_coverage": (lambda s, d: rl.coverage(plain_days(s, d)), f"WITH {LI.replace(chr(39) + 's' + chr(39) + ' || l_suppkey AS sq', chr(39) + 'range' + chr(39) + ' AS sq')}, {RUNS} SELECT st AS start, en AS \"end\", value FROM runs"),
+    "plain_reduce": (lambda s, d: _as_text(rl.reduce_ranges(plain_events(s, d), with_revmap=True), "revmap"), PLAIN_REDUCE),
+    "reduce_revmap": (lambda s, d: _as_text(rl.reduce_ranges(events(s, d), with_revmap=True), "revmap"), REVMAP),
+    "disjoin_revmap": (lambda s, d: _as_text(rl.disjoin(events(s, d), with_revmap=True), "revmap"), DISJOIN_MAP),
+    "gaps_bounded": (lambda s, d: rl.gaps(shipments(s, d), start=-20, end=3000), _bounded_gaps("SELECT DISTINCT sq, sd FROM li", "-20", "3000")),
+    "gaps_seqinfo": (lambda s, d: rl.gaps(with_lengths(s, d)), _bounded_gaps("SELECT sq, unnest(['+', '-', '*']) AS sd FROM (SELECT DISTINCT sq FROM li)", "1", "3000")),
+    "coverage_shifted": (lambda s, d: rl.coverage(shipments(s, d), shift=-100, width=2000, weight="quantity"), f"WITH {LI}, {_SHIFTED} SELECT sq AS seqname, st AS start, en AS \"end\", value FROM runs"),
+    "count_by_group_na": (lambda s, d: rl.count_overlaps_by_group(windows(s, d), with_gaps(s, d), "flag", include_na_group=True), NO_GROUP),
+    "agg_sum_strict": (lambda s, d: rl.overlap_aggregate(windows(s, d), with_gaps(s, d), value_col="quantity", fun="sum", na_rm=False), STRICT),
     "index_stats": (lambda s, d: rl.index_stats(rl.SubjectIndex(shipments(s, d))).drop("index_size_mb"), STATS),
 }
 

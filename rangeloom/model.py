@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CORE = ("range_id", "seqname", "start", "end", "strand")
@@ -24,6 +26,8 @@ class Stats:
     width_max: int
     has_empty: bool
     seqs: int = 1
+    most: int | None = None  # rows of the fullest sequence; None if unknown
+    sizes: tuple[int, ...] | None = None  # bit lengths of the widths; None if unknown
 
 
 class RangeSet:
@@ -37,7 +41,7 @@ class RangeSet:
     def __init__(self, df: DataFrame, genomic: bool, seqinfo: DataFrame | None = None):
         need = CORE if genomic else ("range_id", "start", "end")
         if not isinstance(df, DataFrame):
-            raise TypeError("ranges must be given as a DataFrame; lists of range sets are not currently supported")
+            raise TypeError("ranges have to come as one DataFrame; anything else is not currently supported")
         missing = [c for c in need if c not in df.columns]
         if missing:
             raise ValueError(f"a {'genomic' if genomic else 'plain'} range table needs the columns {', '.join(missing)}")
@@ -74,20 +78,32 @@ class RangeSet:
 
     @cached_property
     def stats(self) -> Stats:
-        width = F.col("end") - F.col("start") + 1
-        r = self.df.agg(
-            F.count("*").alias("n"), F.min("start").alias("low"), F.max("end").alias("high"), F.percentile_approx(width, 0.95, 1000).alias("p"),
-            F.max(width).alias("w"), F.coalesce(F.max(width <= 0), F.lit(False)).alias("e"),
-            F.approx_count_distinct("seqname").alias("s"),
-        ).first()
-        return Stats(r.n, r.low or 0, r.high or 0, max(1, r.p or 1), max(1, r.w or 1), r.e, max(1, r.s))
+        width = F.greatest(F.col("end") - F.col("start") + 1, F.lit(0))
+        bits = F.length(F.bin(width)).cast("int")  # ranges by the bit length of their width
+        per = self.df.select("seqname", "start", "end", width.alias("w"), bits.alias("bits")).groupBy("seqname", "bits")
+        per = per.agg(F.count("*").alias("n"), F.min("start").alias("low"), F.max("end").alias("high"), F.max("w").alias("w"), F.max(F.col("w") == 0).alias("empty"))
+        per = per.withColumn("of_seq", F.sum("n").over(Window.partitionBy("seqname")))
+        rows = per.groupBy("bits").agg(
+            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("w").alias("w"), F.max("empty").alias("empty"), F.max("of_seq").alias("most"),
+            F.sum(F.col("n") / F.col("of_seq")).alias("seqs"),
+        ).collect()
+        rows.sort(key=lambda r: r["bits"])  # a row a bit length
+        n = sum(r["n"] for r in rows)
+        before, usual = 0, 1
+        for r in rows:
+            usual = r["w"] if before < 0.95 * n else usual
+            before += r["n"]
+        return Stats(
+            n, min((r["low"] for r in rows), default=0), max((r["high"] for r in rows), default=0), max(1, usual), max([1, *(r["w"] for r in rows)]), any(r["empty"] for r in rows),
+            max(1, round(sum(r["seqs"] for r in rows))), max((r["most"] for r in rows), default=0), tuple(r["bits"] for r in rows),
+        )
 
     def check_circular(self, what: str) -> None:
         """Circular sequences can't be used; ones that no range lies on may be listed."""
         if self.seqinfo is not None and "is_circular" in self.seqinfo.columns:
             used = self.seqinfo.filter("is_circular").join(self.df.select("seqname").distinct(), "seqname", "left_semi")
             if not used.isEmpty():
-                raise ValueError(f"{what} contains circular sequences, which are not currently supported")
+                raise ValueError(f"{what} lies on circular sequences, which are not currently supported")
 
 
 def same_kind(query: RangeSet, subject: RangeSet) -> None:
@@ -101,22 +117,22 @@ def side(rs: RangeSet, prefix: str, *extra: str) -> DataFrame:
 
 
 def number(name: str, value, least: int) -> int:
-    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value:
-        raise ValueError(f"{name} must be a single non-missing numeric value")
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
+        raise ValueError(f"{name} has to be one finite numeric value")
     if int(value) < least:
-        raise ValueError(f"{name} must be >= {least}")
+        raise ValueError(f"{name} needs a value >= {least}")
     return int(value)
 
 
 def flag(name: str, value) -> bool:
     if not isinstance(value, bool):
-        raise ValueError(f"{name} must be a single non-missing logical value")
+        raise ValueError(f"{name} has to be one logical value")
     return value
 
 
 def word(name: str, value, choices: tuple[str, ...] | None = None) -> str:
     if not isinstance(value, str) or not value:
-        raise ValueError(f"{name} must be a single non-empty character value")
+        raise ValueError(f"{name} has to be one non-empty character value")
     if choices and value not in choices:
         raise ValueError(f"{name} must be one of {', '.join(choices)}")
     return value
@@ -124,3 +140,17 @@ def word(name: str, value, choices: tuple[str, ...] | None = None) -> str:
 
 def strand_column(ignore: bool) -> Column:
     return F.lit("*") if ignore else F.col("strand")
+
+
+def checked(operator: Callable) -> Callable:
+    """An operator that looks at ``threads`` and ``deterministic`` before it begins."""
+
+    @wraps(operator)
+    def run(*args, **options):
+        if options.get("threads") is not None:
+            number("threads", options["threads"], 1)
+        if "deterministic" in options:
+            flag("deterministic", options["deterministic"])
+        return operator(*args, **options)
+
+    return run

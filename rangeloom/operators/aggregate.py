@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.functions.predicate import Match
-from rangeloom.model import RangeSet, flag, word
+from rangeloom.model import RangeSet, checked, flag, word
 from rangeloom.operators.overlap import count_overlaps, prepare
 from rangeloom.plans import binning
 
@@ -32,6 +32,7 @@ def group_counts(query: RangeSet, subject: RangeSet, group_col: str, *, include_
     return found.filter("group is not null").groupBy("query_id", "group").agg(F.count("*").alias("overlap_count"))
 
 
+@checked
 def count_overlaps_by_group(query: RangeSet, subject: RangeSet, group_col: str, *, include_na_group: bool = False, max_groups: int = 10_000, threads: int | None = None,
                             deterministic: bool = False, **match) -> DataFrame:
     """A column of counts for every group in the whole subject, a row a query.
@@ -53,6 +54,7 @@ def count_overlaps_by_group(query: RangeSet, subject: RangeSet, group_col: str,
     return out.join(wide, "query_id", "left").select("query_id", *(F.coalesce(F.col(f"`{g.replace('`', '``')}`"), F.lit(0)).alias(g) for g in levels))
 
 
+@checked
 def overlap_aggregate(query: RangeSet, subject: RangeSet, *, value_col: str | None = None, fun: str = "count", na_rm: bool = True, threads: int | None = None,
                       deterministic: bool = False, **match) -> DataFrame:
     """``(query_id, value)``: one number a query over the subjects it matches.

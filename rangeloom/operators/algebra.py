@@ -19,8 +19,7 @@ def _shape(df: DataFrame, genomic: bool, *extra: str) -> DataFrame:
 
 
 def _width(*sets: RangeSet) -> int | None:
-    stats = [x.stats for x in sets]
-    return chunk_width(2 * sum(s.n for s in stats), min(s.low for s in stats), max(s.high for s in stats))
+    return chunk_width(list(sets), 2)
 
 
 def _rows(x: RangeSet, ignore_strand: bool) -> DataFrame:
@@ -42,9 +41,8 @@ def reduce_ranges(x: RangeSet, *, ignore_strand: bool = False, min_gap_width: in
     return _shape(out, x.genomic, *(["revmap"] if with_revmap else []))
 
 
-def depths(sets: list[tuple[DataFrame, str]], keys: list[str], width: int | None) -> DataFrame:
-    """Pieces between neighbouring boundaries with the depth of each set, a column
-    a set. Empty ranges cover nothing."""
+def _points(sets: list[tuple[DataFrame, str]], keys: list[str]) -> DataFrame:
+    """By position, how much the depth of each set changes there (``d_<set>``)."""
     names = [n for _, n in sets]
     events = None
     for rows, name in sets:
@@ -52,7 +50,14 @@ def depths(sets: list[tuple[DataFrame, str]], keys: list[str], width: int | None
         for at, step in ((F.col("start"), 1), (F.col("end") + 1, -1)):
             e = rows.select(*keys, at.alias("pos"), *(F.lit(step if n == name else 0).alias(f"d_{n}") for n in names))
             events = e if events is None else events.union(e)
-    points = events.groupBy(*keys, "pos").agg(*(F.sum(f"d_{n}").alias(f"d_{n}") for n in names))
+    return events.groupBy(*keys, "pos").agg(*(F.sum(f"d_{n}").alias(f"d_{n}") for n in names))
+
+
+def depths(sets: list[tuple[DataFrame, str]], keys: list[str], width: int | None) -> DataFrame:
+    """Pieces between neighbouring boundaries with the depth of each set, a column
+    a set. Empty ranges cover nothing."""
+    names = [n for _, n in sets]
+    points = _points(sets, keys)
     specs = [*(Running(n, F.col(f"d_{n}"), "sum") for n in names), Running("after", F.col("pos"), "next")]
     out = scan(points, keys, [F.col("pos")], specs, "pos", width).filter("after is not null")
     return out.select(*keys, F.col("pos").alias("start"), (F.col("after") - 1).alias("end"), *names)
@@ -105,11 +110,18 @@ def gaps(x: RangeSet, *, start: int | None = None, end: int | None = None, ignor
 
 
 def _combine(x: RangeSet, y: RangeSet, ignore_strand: bool, keep: str) -> DataFrame:
+    """The stretches where ``keep`` holds of the depths of both sets: it is looked
+    at where it changes, so neighbouring pieces need no merging."""
     flag("ignore_strand", ignore_strand)
     same_kind(x, y)
     width = _width(x, y)
-    pieces = depths([(_rows(x, ignore_strand), "in_x"), (_rows(y, ignore_strand), "in_y")], KEYS, width).filter(keep)
-    return _shape(merge(pieces, 1, width), x.genomic)
+    points = _points([(_rows(x, ignore_strand), "in_x"), (_rows(y, ignore_strand), "in_y")], KEYS)
+    order = [F.col("pos")]
+    depth = scan(points, KEYS, order, [Running(n, F.col(f"d_{n}"), "sum") for n in ("in_x", "in_y")], "pos", width)
+    kept = scan(depth.select(*KEYS, "pos", F.expr(keep).cast("int").alias("kept")), KEYS, order, [Running("was", F.col("kept"), "previous")], "pos", width)
+    turns = kept.filter("kept != coalesce(was, 0)").select(*KEYS, "pos", "kept")
+    out = scan(turns, KEYS, order, [Running("after", F.col("pos"), "next")], "pos", width).filter("kept = 1")
+    return _shape(out.select(*KEYS, F.col("pos").alias("start"), (F.col("after") - 1).alias("end")), x.genomic)
 
 
 def range_union(x: RangeSet, y: RangeSet, *, ignore_strand: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.model import RangeSet, number, word
+from rangeloom.model import RangeSet, checked, number, word
 from rangeloom.plans.ordered import Running, chunk_width, scan
 
 METHODS = ("auto", "sort", "hash")
@@ -50,12 +50,12 @@ def _runs(x: RangeSet, shift: int, width: int | None, weight) -> DataFrame:
     )
     # A point stays if the depth changes there or the sequence begins or ends.
     points = events.groupBy("seqname", "pos").agg(F.sum("value").alias("step")).join(lengths, "seqname").filter("step <> 0 or pos = 1 or pos = length + 1")
-    s = x.stats
     specs = [Running("value", F.col("step"), "sum"), Running("after", F.col("pos"), "next")]
-    out = scan(points, ["seqname"], [F.col("pos")], specs, "pos", chunk_width(2 * s.n, s.low, s.high)).filter("after is not null")
+    out = scan(points, ["seqname"], [F.col("pos")], specs, "pos", chunk_width([x], 2)).filter("after is not null")
     return out.select("seqname", F.col("pos").alias("start"), (F.col("after") - 1).alias("end"), "value")
 
 
+@checked
 def coverage(x: RangeSet, *, shift: int = 0, width: int | None = None, weight=1, method: str = "auto", threads: int | None = None) -> DataFrame:
     """Runs of equal depth from position 1 to the length, a row a run.
 
@@ -67,12 +67,13 @@ def coverage(x: RangeSet, *, shift: int = 0, width: int | None = None, weight=1,
     return runs if x.genomic else runs.drop("seqname")
 
 
+@checked
 def tile_coverage(x: RangeSet, *, tile_width: int, step_width: int | None = None, shift: int = 0, width: int | None = None, weight=1, method: str = "auto",
                   threads: int | None = None) -> DataFrame:
     """Sum of the depths in each tile; tiles begin at 1 and are cut at the length.
 
-    With steps d at positions p, the depths before position x add up to the sum
-    of d * (x - p) over p <= x: two running sums give it at the tiles' ends.
+    The depths before a position add up to the sum of depth times distance from
+    boundary to boundary; its values at a tile's two ends give the tile's sum.
     """
     word("method", method, METHODS)
     tile = number("tile_width", tile_width, 1)
@@ -88,9 +89,10 @@ def tile_coverage(x: RangeSet, *, tile_width: int, step_width: int | None = None
 
     after = F.col("end") + 1
     events = event(rows, F.col("start"), F.col("value"), 0).union(event(rows, after, -F.col("value"), 0)).union(event(tiles, F.col("start"), zero, -1)).union(event(tiles, after, zero, 1))
-    s = x.stats
-    specs = [Running("steps", F.col("step"), "sum"), Running("moments", F.col("step") * F.col("pos"), "sum")]
-    found = scan(events, ["seqname"], [F.col("pos"), F.col("probe")], specs, "pos", chunk_width(2 * s.n, s.low, s.high)).filter("probe = 1")
-    area = (F.col("steps") * F.col("pos") - F.col("moments")) * F.col("sign")
+    order, width_ = [F.col("pos"), F.col("probe")], chunk_width([x], 4)
+    found = scan(events, ["seqname"], order, [Running("depth", F.col("step"), "sum_before"), Running("at", F.col("pos"), "previous")], "pos", width_)
+    more = F.coalesce(F.col("depth") * (F.col("pos") - F.col("at")), zero)
+    found = scan(found.select("*", more.alias("more")), ["seqname"], order, [Running("area", F.col("more"), "sum")], "pos", width_).filter("probe = 1")
+    area = F.col("area") * F.col("sign")
     out = found.groupBy("seqname", "tile.start", "tile.end").agg(F.sum(area).cast("double").alias("coverage_sum"))
     return out if x.genomic else out.drop("seqname")

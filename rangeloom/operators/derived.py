@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions.predicate import Match
-from rangeloom.model import RangeSet, number
+from rangeloom.model import RangeSet, checked, number
 from rangeloom.operators.overlap import count_overlaps, prepare, self_overlaps, subject_ranges
 from rangeloom.plans.components import components, ensure_checkpoint_dir
 from rangeloom.plans.ordered import Running, chunk_width, scan
@@ -21,6 +21,7 @@ def islands(df: DataFrame, keys: list[str], min_gap: int, width: int | None) ->
     return scan(df, keys, order, [Running("island", new, "sum")], "start", width).drop("_reach")
 
 
+@checked
 def cluster_overlaps(ranges: RangeSet, *, threads: int | None = None, deterministic: bool = False, **match) -> DataFrame:
     """``(range_id, cluster_id, cluster_size)``: components of the overlap graph.
 
@@ -32,7 +33,7 @@ def cluster_overlaps(ranges: RangeSet, *, threads: int | None = None, determinis
     prepare(ranges, ranges)
     s = ranges.stats
     if m.type == "any" and m.min_overlap <= 1 and (m.ignore_strand or not ranges.genomic) and not s.has_empty and not (m.max_gap >= 0 and m.min_overlap):
-        rows = islands(ranges.bare(), ["seqname"], m.max_gap + 1, chunk_width(s.n, s.low, s.high))
+        rows = islands(ranges.bare(), ["seqname"], m.max_gap + 1, chunk_width([ranges]))
         least = rows.groupBy("seqname", "island").agg(F.min("range_id").alias("component"))
         rows = rows.join(least, ["seqname", "island"]).select("range_id", "component")
     else:
@@ -57,6 +58,7 @@ def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     return placed.join(F.broadcast(sizes), "_part").withColumn(name, (within + F.col("_base")).cast("long")).drop("_part", "_base")
 
 
+@checked
 def window_count_overlaps(query: RangeSet, subject, *, window_width: int, step_width: int | None = None, threads: int | None = None, deterministic: bool = False, **match) -> DataFrame:
     """Counts of subjects in sliding windows over the span of the queries.
 

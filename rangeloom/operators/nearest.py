@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.functions.predicate import Match
-from rangeloom.model import RangeSet, flag
+from rangeloom.model import RangeSet, checked, flag
 from rangeloom.operators.overlap import hits, prepare
 from rangeloom.plans.ordered import Running, chunk_width, scan
 
@@ -16,7 +16,7 @@ def _sides(query: RangeSet, subject: RangeSet, ignore_strand: bool) -> DataFrame
     as ``struct(distance, id)``; a tie goes to the least id."""
     stranded = query.genomic and not ignore_strand
     classes = {"plus": F.col("strand") != "-", "minus": F.col("strand") != "+"} if stranded else {"plus": F.lit(True)}
-    wide = chunk_width(query.stats.n + subject.stats.n, min(query.stats.low, subject.stats.low), max(query.stats.high, subject.stats.high))
+    wide = chunk_width([query, subject])
 
     def along(q_at: str, s_at: str, name: str, kind: str) -> DataFrame:
         # A query stands after the subjects of its position when it looks on, and
@@ -53,6 +53,7 @@ def _one_way(query: RangeSet, subject, ignore_strand: bool, ahead: bool) -> Data
     return sides.select(F.col("range_id").alias("query_id"), best["id"].alias("subject_id"))
 
 
+@checked
 def precede(query: RangeSet, subject, *, ignore_strand: bool = False, threads: int | None = None) -> DataFrame:
     """``(query_id, subject_id)``: the nearest subject that the query comes before.
 
@@ -63,11 +64,13 @@ def precede(query: RangeSet, subject, *, ignore_strand: bool = False, threads: i
     return _one_way(query, subject, ignore_strand, True)
 
 
+@checked
 def follow(query: RangeSet, subject, *, ignore_strand: bool = False, threads: int | None = None) -> DataFrame:
     """``(query_id, subject_id)``: the nearest subject that the query comes after."""
     return _one_way(query, subject, ignore_strand, False)
 
 
+@checked
 def distance_to_nearest(query: RangeSet, subject, *, ignore_strand: bool = False, threads: int | None = None) -> DataFrame:
     """``(query_id, subject_id, distance)`` of queries with any compatible subject.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.functions.predicate import Match
-from rangeloom.model import RangeSet, flag, same_kind, word
+from rangeloom.model import RangeSet, checked, flag, same_kind, word
 from rangeloom.plans import binning
 from rangeloom.plans.ordered import Running, chunk_width, scan
 from rangeloom.sources.index import SubjectIndex
@@ -36,6 +36,7 @@ def hits(query: RangeSet, subject: RangeSet, m: Match) -> DataFrame:
     return found.select(F.col("q_range_id").alias("query_id"), F.col("s_range_id").alias("subject_id"))
 
 
+@checked
 def find_overlaps(query: RangeSet, subject: RangeSet | SubjectIndex, *, select: str = "all", deterministic: bool = False, threads: int | None = None, **match) -> DataFrame:
     """``(query_id, subject_id)`` of all matches, or with ``select`` one row a query.
 
@@ -44,7 +45,6 @@ def find_overlaps(query: RangeSet, subject: RangeSet | SubjectIndex, *, select:
     accepted and leaves parallelism to the cluster.
     """
     word("select", select, SELECT)
-    flag("deterministic", deterministic)
     subject = prepare(query, subject)
     found = hits(query, subject, Match(**match))
     if select != "all":
@@ -81,7 +81,7 @@ def _rank_counts(query: RangeSet, subject: RangeSet, m: Match) -> DataFrame:
         .union(event(q, early, 0, 0, 0, True))
         .union(event(q, late, 2, 0, 0, True))
     )
-    wide = chunk_width(2 * (query.stats.n + subject.stats.n), min(query.stats.low, subject.stats.low), max(query.stats.high, subject.stats.high))
+    wide = chunk_width([query, subject], 2)
     classes = {"all": F.lit(True)} if m.ignore_strand or not query.genomic else {"all": F.lit(True), "plus": F.col("strand") != "-", "minus": F.col("strand") != "+"}
     specs = [Running(f"{c}_{k}", F.when(test, F.col(k)).otherwise(0), "sum") for c, test in classes.items() for k in ("opens", "closes")]
     run = scan(events, ["seqname"], [F.col("pos"), F.col("rank")], specs, "pos", wide).filter("id is not null")
@@ -102,6 +102,7 @@ def _dense(query: RangeSet, subject: RangeSet) -> bool:
     return q.n * s.n / max(q.seqs, s.seqs) * min(1.0, (q.width_95 + s.width_95) / span) >= DENSE * (q.n + s.n)
 
 
+@checked
 def count_overlaps(query: RangeSet, subject: RangeSet | SubjectIndex, *, threads: int | None = None, deterministic: bool = False, **match) -> DataFrame:
     """``(query_id, overlap_count)`` of every query, 0 where nothing matches."""
     subject = prepare(query, subject)
@@ -127,19 +128,24 @@ def _prefixed(rs: RangeSet, prefix: str, taken: list[str]) -> tuple[DataFrame, l
     return rs.frame().select("range_id", *(F.col(f"`{c}`").alias(prefix + c) for c in rs.columns())), names
 
 
+@checked
 def overlap_join(query: RangeSet, subject: RangeSet, *, join: str = "inner", query_prefix: str = "query_", subject_prefix: str = "subject_", threads: int | None = None,
                  deterministic: bool = False, **match) -> DataFrame:
     """Matches with the prefixed columns of both sides; ``left`` keeps every query."""
     word("join", join, ("inner", "left"))
-    if isinstance(subject, SubjectIndex) and subject.meta_lost:
-        raise ValueError("overlap joins require raw subject ranges for metadata output")
     subject = prepare(query, subject)
     q, q_names = _prefixed(query, query_prefix, ["query_id", "subject_id"])
     s, s_names = _prefixed(subject, subject_prefix, ["query_id", "subject_id", *q_names])
-    found = hits(query, subject, Match(**match))
-    q, s = q.withColumnRenamed("range_id", "query_id"), s.withColumnRenamed("range_id", "subject_id")
-    # Pairs are made on ids; the other columns are joined to them afterwards.
-    out = q.join(found, "query_id", join).join(s, "subject_id", join)
+    # Pairs carry the columns of both sides: no join back by ids, of which one may be in very many pairs.
+    found = binning.pairs(query, subject, Match(**match), tuple(query.meta), tuple(subject.meta))
+    for p in "qs":
+        found = found.withColumn(f"{p}_width", F.col(f"{p}_end") - F.col(f"{p}_start") + 1)
+    sides = ((p, c, name) for p, rs, names in (("q", query, q_names), ("s", subject, s_names)) for c, name in zip(rs.columns(), names))
+    found = found.select(F.col("q_range_id").alias("query_id"), F.col("s_range_id").alias("subject_id"), *(F.col(f"`{p}_{c}`").alias(name) for p, c, name in sides))
+    out = found
+    if join == "left":
+        alone = q.withColumnRenamed("range_id", "query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
+        out = found.unionByName(alone, allowMissingColumns=True)
     out = out.select("query_id", "subject_id", *(F.col(f"`{c}`") for c in (*q_names, *s_names)))
     return out.orderBy("query_id", "subject_id") if deterministic else out
 
@@ -168,6 +174,7 @@ def anti_overlap_join(query: RangeSet, subject: RangeSet | SubjectIndex, *, quer
     return _counted(query, subject, query_prefix, False, options)
 
 
+@checked
 def self_overlaps(ranges: RangeSet, *, drop_self: bool = True, drop_redundant: bool = True, deterministic: bool = False, threads: int | None = None, **match) -> DataFrame:
     """Matches within one set: each pair once unless ``drop_redundant`` is off."""
     flag("drop_self", drop_self)

@@ -1,52 +1,87 @@
 """Interval joins as equi-joins on bins.
 
-A range takes the finest level at which it spans few bins; a level's bins are
-``STEP`` times as wide as those of the level below. Two ranges meet at the coarser
-of their levels only, and there in the bin that holds the larger of their starts
-only, so every pair is made once. Long ranges therefore neither burst into many
-bins nor need a side to be broadcast.
+A range takes the finest level at which it spans few bins, its own; a level's bins
+are ``STEP`` times as wide as those of the level below. Two ranges meet at the
+coarser of their own levels only, and there in the bin that holds the larger of
+their starts only, so every pair is made once. One side is therefore always at its
+own level: queries there meet subjects of that level and finer ones lifted to it,
+and lifted queries meet subjects at home. Short ranges never meet one another in a
+wide bin, and nothing is lifted to a level that no range of the other side has.
+Long ranges neither burst into many bins nor need a side to be broadcast.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.functions.predicate import Match, overlap_condition
-from rangeloom.model import RangeSet, side
+from rangeloom.model import CORE, RangeSet, Stats, side
 
 STEP, SPAN = 16, 8
+HOME = ["seqname", "level", "bin"]
+
 
+@dataclass(frozen=True)
+class Grid:
+    """Bins of ``width`` coordinates at level 0, and how many levels there are."""
 
-def bin_width(query: RangeSet, subject: RangeSet, pad: int) -> int:
-    return 2 * (max(query.stats.width_95, subject.stats.width_95) + pad)
+    width: int
+    levels: int
 
+    @classmethod
+    def of(cls, width: int, longest: int) -> "Grid":
+        n = 1
+        while longest > SPAN * width * STEP ** (n - 1):
+            n += 1
+        return cls(width, n)
 
-def _levels(query: RangeSet, subject: RangeSet, width: int, pad: int) -> int:
-    longest, n = max(query.stats.width_max, subject.stats.width_max) + 2 * pad, 1
-    while longest > SPAN * width * STEP ** (n - 1):
-        n += 1
-    return n
+    def level_of(self, low: Column, high: Column) -> Column:
+        out = F.lit(self.levels - 1)
+        for level in reversed(range(self.levels - 1)):
+            out = F.when(high - low < SPAN * self.width * STEP**level, level).otherwise(out)
+        return out
 
+    def wide(self, level: Column) -> Column:
+        if self.levels == 1:
+            return F.lit(self.width)
+        return F.element_at(F.array(*(F.lit(self.width * STEP**k) for k in range(self.levels))), level + 1)
 
-def _level(low: Column, high: Column, width: int, levels: int) -> Column:
-    out = F.lit(levels - 1)
-    for level in reversed(range(levels - 1)):
-        out = F.when(high - low < SPAN * width * STEP**level, level).otherwise(out)
-    return out
+    def own_levels(self, stats: Stats, pad: int) -> list[int]:
+        """Levels that ranges of a set may have as their own."""
+        if stats.sizes is None:
+            return list(range(self.levels))
+        out = set()
+        for bits in stats.sizes:
+            least, most = (1 << bits >> 1) - 1 + 2 * pad, (1 << bits) - 2 + 2 * pad
+            level = [next((k for k in range(self.levels - 1) if x < SPAN * self.width * STEP**k), self.levels - 1) for x in (least, max(most, least, 2 * pad + 1))]
+            out |= set(range(level[0], level[1] + 1))
+        return sorted(out)
 
 
-def _placed(df: DataFrame, prefix: str, pad: int, width: int, levels: int) -> DataFrame:
+def placed(df: DataFrame, prefix: str, pad: int, grid: Grid, lifted: list[int] | None) -> DataFrame:
+    """Rows by bin: at their own levels (``lifted`` None), or at those of the levels
+    ``lifted`` that are coarser. Adds ``low, high, level, bin`` under the prefix."""
     start, end = F.col(prefix + "start") - pad, F.col(prefix + "end") + pad
     df = df.withColumns({f"{prefix}low": F.least(start, end), f"{prefix}high": F.greatest(start, end)})
-    low, high = F.col(f"{prefix}low"), F.col(f"{prefix}high")
-    if levels == 1:
-        return df.select("*", F.lit(0).alias(f"{prefix}level"), F.lit(True).alias(f"{prefix}own"),
-                         F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias(f"{prefix}bin"))
-    at = F.explode(F.sequence(_level(low, high, width, levels), F.lit(levels - 1)))
-    df = df.select("*", at.alias(f"{prefix}level")).withColumn(f"{prefix}own", F.col(f"{prefix}level") == _level(low, high, width, levels))
-    wide = F.element_at(F.array(*(F.lit(width * STEP**k) for k in range(levels))), F.col(f"{prefix}level") + 1)
-    return df.select("*", F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide))).alias(f"{prefix}bin"))
+    low, high, level = F.col(f"{prefix}low"), F.col(f"{prefix}high"), F.col(f"{prefix}level")
+    own = grid.level_of(low, high)
+    if lifted is None:
+        df = df.withColumn(f"{prefix}level", own.cast("int"))
+    else:
+        df = df.withColumn(f"{prefix}level", F.explode(F.filter(F.array(*(F.lit(k) for k in lifted)), lambda k: k > own)))
+    return df.withColumn(f"{prefix}bin", F.explode(F.sequence(F.floor(low / grid.wide(level)), F.floor(high / grid.wide(level)))))
+
+
+def by_bin(subject: RangeSet, grid: Grid) -> tuple[DataFrame, DataFrame]:
+    """A subject set at home, and at home and lifted to every coarser level."""
+    s = subject.df.select(*(F.col(f"`{c}`") for c in subject.df.columns))
+    home = placed(s, "", 0, grid, None).withColumn("own", F.lit(True))
+    if grid.levels == 1:
+        return home, home
+    return home, home.union(placed(s, "", 0, grid, list(range(1, grid.levels))).withColumn("own", F.lit(False)))
 
 
 def pairs(query: RangeSet, subject: RangeSet, m: Match, q_meta: tuple[str, ...] = (), s_meta: tuple[str, ...] = (), extra: Column | None = None) -> DataFrame:
@@ -68,12 +103,23 @@ def pairs(query: RangeSet, subject: RangeSet, m: Match, q_meta: tuple[str, ...]
         s = s.withColumn("s_bin", F.floor(F.col(f"s_{c}") / band))
         return q.join(s, same & (F.col("q_bin") == F.col("s_bin")) & match).select(*names)
     pad = m.max_gap + 1
-    width = bin_width(query, subject, pad)
-    levels = _levels(query, subject, width, pad)
-    q, s = _placed(q, "q_", pad, width, levels), _placed(s, "s_", 0, width, levels)
-    wide = F.element_at(F.array(*(F.lit(width * STEP**k) for k in range(levels))), F.col("q_level") + 1) if levels > 1 else F.lit(width)
-    home = F.col("q_bin") == F.floor(F.greatest("q_low", "s_low") / wide)
-    on = same & (F.col("q_bin") == F.col("s_bin"))
-    if levels > 1:
-        on &= (F.col("q_level") == F.col("s_level")) & (F.col("q_own") | F.col("s_own"))
-    return q.join(s, on & home & match).select(*names)
+    ready = getattr(subject, "binned", None)
+    if ready is not None:
+        grid, home, every = ready
+        prefixed = [F.col(f"`{c}`").alias(f"s_{c}") for c in (*CORE, *s_meta, "low", "high", "level", "bin")]
+        home, every = home.select(*prefixed), every.select(*prefixed)
+    else:
+        width = 2 * (max(query.stats.width_95, subject.stats.width_95) + pad)
+        grid = Grid.of(width, max(query.stats.width_max, subject.stats.width_max) + 2 * pad)
+        home, every = placed(s, "s_", 0, grid, None), None
+    q_levels, s_levels = grid.own_levels(query.stats, pad), grid.own_levels(subject.stats, 0)
+    on = same & (F.col("q_level") == F.col("s_level")) & (F.col("q_bin") == F.col("s_bin"))
+    on &= (F.col("q_bin") == F.floor(F.greatest("q_low", "s_low") / grid.wide(F.col("q_level")))) & match
+    above = [k for k in q_levels if k > s_levels[0]] if s_levels else []
+    if ready is None:
+        every = home.union(placed(s, "s_", 0, grid, above)) if above else home
+    found = placed(q, "q_", pad, grid, None).join(every if above else home, on).select(*names)
+    above = [k for k in s_levels if k > q_levels[0]] if q_levels else []
+    if above:
+        found = found.union(placed(q, "q_", pad, grid, above).join(home, on).select(*names))
+    return found

@@ -12,24 +12,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeloom.plans.components import ensure_checkpoint_dir
+
 ROWS_PER_CHUNK = 500_000
-MOST_CHUNKS = 4096
 
 
 @dataclass(frozen=True)
 class Running:
     """``kind``: ``sum`` or ``last`` up to and with a row; ``sum_before``,
-    ``max_before`` of the rows before it; ``next`` of the rows after it.
-    ``last`` and ``next`` skip nulls."""
+    ``max_before``, ``previous`` of the rows before it; ``next`` of the rows after
+    it. ``last``, ``previous`` and ``next`` skip nulls."""
 
     name: str
     value: Column
     kind: str
 
 
-def chunk_width(n: int, low: int, high: int) -> int | None:
-    """Coordinates a chunk, or None where one window a sequence will do."""
-    chunks = min(n // ROWS_PER_CHUNK, MOST_CHUNKS)
+def chunk_width(sets: list, rows_a_range: int = 1) -> int | None:
+    """Coordinates a chunk for events of some sets of ranges, or None where one
+    window a sequence will do, since no sequence is long."""
+    stats = [x.stats for x in sets]
+    most = rows_a_range * sum(s.n if s.most is None else s.most for s in stats)
+    low, high = min(s.low for s in stats), max(s.high for s in stats)
+    chunks = most // ROWS_PER_CHUNK
     return max(1, (high - low) // chunks + 1) if chunks > 1 else None
 
 
@@ -39,12 +44,16 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], specs: list[Runnin
     df = df.select("*", *(s.value.alias(f"_v{k}") for k, s in enumerate(specs)))
     by = list(keys)
     if width:
-        df = df.withColumn("_chunk", F.floor(F.col(position) / width))
+        ensure_checkpoint_dir(df.sparkSession)
+        # Read twice below, and by the scans after this one: made once.
+        df = df.withColumn("_chunk", F.floor(F.col(position) / width)).checkpoint()
         by.append("_chunk")
     local = Window.partitionBy(*by).orderBy(*order)
     up_to = local.rowsBetween(Window.unboundedPreceding, 0)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
-    after = local.rowsBetween(1, Window.unboundedFollowing)
+    # Looking on is looking back in the opposite order: a frame that ends with the
+    # partition would be gone through anew for every row.
+    after = Window.partitionBy(*by).orderBy(*(c.desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
 
     def within(k: int, kind: str) -> Column:
         v = F.col(f"_v{k}")
@@ -53,7 +62,8 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], specs: list[Runnin
             "sum_before": lambda: F.sum(v).over(before),
             "max_before": lambda: F.max(v).over(before),
             "last": lambda: F.last(v, ignorenulls=True).over(up_to),
-            "next": lambda: F.first(v, ignorenulls=True).over(after),
+            "previous": lambda: F.last(v, ignorenulls=True).over(before),
+            "next": lambda: F.last(v, ignorenulls=True).over(after),
         }[kind]()
 
     out = df.select("*", *(within(k, s.kind).alias(f"_r{k}") for k, s in enumerate(specs)))
@@ -63,15 +73,16 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], specs: list[Runnin
     # One row a chunk: its totals, and its first and last values.
     ends = {
         "sum": lambda v: F.sum(v).over(whole), "sum_before": lambda v: F.sum(v).over(whole), "max_before": lambda v: F.max(v).over(whole),
-        "last": lambda v: F.last(v, ignorenulls=True).over(whole), "next": lambda v: F.first(v, ignorenulls=True).over(whole),
+        "last": lambda v: F.last(v, ignorenulls=True).over(whole), "previous": lambda v: F.last(v, ignorenulls=True).over(whole), "next": lambda v: F.first(v, ignorenulls=True).over(whole),
     }
     tops = df.select(*by, F.row_number().over(local).alias("_n"), *(ends[s.kind](F.col(f"_v{k}")).alias(f"_t{k}") for k, s in enumerate(specs)))
     tops = tops.filter("_n = 1").drop("_n")
     along = Window.partitionBy(*keys).orderBy("_chunk")
-    past, future = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = {
         "sum": lambda v: F.sum(v).over(past), "sum_before": lambda v: F.sum(v).over(past), "max_before": lambda v: F.max(v).over(past),
-        "last": lambda v: F.last(v, ignorenulls=True).over(past), "next": lambda v: F.first(v, ignorenulls=True).over(future),
+        "last": lambda v: F.last(v, ignorenulls=True).over(past), "previous": lambda v: F.last(v, ignorenulls=True).over(past), "next": lambda v: F.last(v, ignorenulls=True).over(future),
     }
     tops = tops.select(*by, *(carry[s.kind](F.col(f"_t{k}")).alias(f"_c{k}") for k, s in enumerate(specs)))
     out = out.join(tops, by)

@@ -3,46 +3,69 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rangeloom.model import CORE, RangeSet, Stats, flag, word
+from rangeloom.plans import binning
+from rangeloom.session import default_threads
 
 BLOCK = 2048
-FORMAT = 1
-_META = "index.json"
+FORMAT = 2
+ROWS_PER_BUCKET = 2_000_000
+_LAYOUT = ("low", "high", "level", "bin", "own")
 
 
 class SubjectIndex:
-    """Ranges sorted by place, with the figures that plans need already taken."""
+    """Ranges laid out by bin for repeated queries, with the figures that plans need.
+
+    ``ranges`` carries the layout: rows by (sequence, level, bin), hashed into a
+    fixed number of partitions and sorted there, so that a query set alone is
+    exchanged for a join with it.
+    """
 
     def __init__(self, ranges: RangeSet, size_mb: float | None = None):
         self.ranges, self.size_mb = ranges, size_mb
 
-    @property
-    def meta_lost(self) -> bool:
-        return False
-
     def __repr__(self) -> str:
         s = self.ranges.stats
-        return f"SubjectIndex({'genomic' if self.ranges.genomic else 'plain'}, {s.n} ranges, {self.ranges.df.select('seqname').distinct().count()} partitions)"
+        return f"SubjectIndex({'genomic' if self.ranges.genomic else 'plain'}, {s.n} ranges, {s.seqs} partitions)"
 
     def unpersist(self) -> None:
-        self.ranges.df.unpersist()
+        binned = getattr(self.ranges, "binned", None)
+        if binned is not None:
+            binned[2].unpersist()
+
+
+def _grid(ranges: RangeSet) -> binning.Grid:
+    """A grid for a subject set alone, with levels for queries of any length."""
+    s = ranges.stats
+    width = 4 * s.width_95
+    return binning.Grid.of(width, max(s.width_max, s.high - s.low + 1))
+
+
+def _laid_out(ranges: RangeSet, grid: binning.Grid, every: DataFrame) -> RangeSet:
+    """The same ranges with their layout; the rows at home are part of all rows."""
+    out = ranges.derive(every.filter("own").filter(F.col("bin") == F.floor(F.col("low") / grid.wide(F.col("level")))).select(*(F.col(f"`{c}`") for c in ranges.df.columns)))
+    out.__dict__["stats"] = ranges.stats
+    out.binned = (grid, every.filter("own"), every)
+    return out
 
 
 def build_index(subject: RangeSet) -> SubjectIndex:
-    """Sort a subject set over the cluster and keep it (memory, then disk)."""
+    """Lay a subject set out by bin over the cluster and keep it (memory, then disk)."""
     if not isinstance(subject, RangeSet):
         raise TypeError("subject must be a RangeSet")
     subject.check_circular("subject")
-    df = subject.df.repartitionByRange("seqname", "start", "end").sortWithinPartitions("seqname", "start", "end").persist(StorageLevel.MEMORY_AND_DISK)
-    kept = subject.derive(df)
-    kept.df = df
-    _ = kept.stats
-    return SubjectIndex(kept)
+    grid = _grid(subject)
+    _, every = binning.by_bin(subject, grid)
+    n = max(default_threads(subject.df.sparkSession), -(-subject.stats.n // ROWS_PER_BUCKET))
+    every = every.repartition(n, *binning.HOME).sortWithinPartitions(*binning.HOME).persist(StorageLevel.MEMORY_AND_DISK)
+    every.count()
+    return SubjectIndex(_laid_out(subject, grid, every))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -60,10 +83,17 @@ def save_index(index: SubjectIndex, path: str, *, compress: bool = True) -> str:
     fs, p = _fs(spark, path)
     if p.getParent() is not None and not fs.exists(p.getParent()):
         raise FileNotFoundError(f"the folder of {path} does not exist")
-    rs.df.write.mode("overwrite").option("compression", "zstd" if compress else "uncompressed").parquet(f"{path}/ranges")
+    grid = rs.binned[0] if hasattr(rs, "binned") else _grid(rs)
+    _, every = binning.by_bin(rs, grid)
+    n = max(default_threads(spark), -(-rs.stats.n // ROWS_PER_BUCKET))
+    fs.delete(p, True)
+    name = f"rangeloom_{uuid.uuid4().hex}"
+    rows = every.repartition(n, *binning.HOME).write.format("parquet").bucketBy(n, *binning.HOME).sortBy(*binning.HOME)
+    rows.option("compression", "zstd" if compress else "uncompressed").option("path", f"{path}/ranges").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
     if rs.seqinfo is not None:
         rs.seqinfo.write.mode("overwrite").parquet(f"{path}/seqinfo")
-    meta = {"format": FORMAT, "genomic": rs.genomic, "seqinfo": rs.seqinfo is not None, "stats": rs.stats.__dict__}
+    meta = {"format": FORMAT, "genomic": rs.genomic, "seqinfo": rs.seqinfo is not None, "stats": rs.stats.__dict__, "grid": [grid.width, grid.levels], "buckets": n}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return path
 
@@ -83,9 +113,20 @@ def load_index(spark: SparkSession, path: str) -> SubjectIndex:
     if missing or meta.get("format", FORMAT) > FORMAT:
         raise ValueError(f"{path} is not a saved index of this version" + f"; it lacks {', '.join(missing)}" * bool(missing))
     seqinfo = spark.read.parquet(f"{path}/seqinfo") if meta.get("seqinfo") else None
-    rs = RangeSet(df if meta["genomic"] else df.drop("seqname", "strand"), meta["genomic"], seqinfo)
+    plain = df.drop(*(c for c in _LAYOUT if c in df.columns and meta.get("grid")))
+    if meta.get("grid"):
+        place = f"{'`, `'.join(binning.HOME)}"
+        name = f"rangeloom_{uuid.uuid4().hex}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        where = path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{place}`) SORTED BY (`{place}`) INTO {meta['buckets']} BUCKETS LOCATION '{where}/ranges'")
+        df = spark.table(name)
+    rs = RangeSet(plain if meta["genomic"] else plain.drop("seqname", "strand"), meta["genomic"], seqinfo)
     if meta.get("stats"):
-        rs.__dict__["stats"] = Stats(**meta["stats"])
+        figures = meta["stats"] | {"sizes": tuple(meta["stats"]["sizes"]) if meta["stats"].get("sizes") is not None else None}
+        rs.__dict__["stats"] = Stats(**figures)
+    if meta.get("grid"):
+        rs = _laid_out(rs, binning.Grid(*meta["grid"]), df)
     return SubjectIndex(rs, fs.getContentSummary(p).getLength() / 2**20)
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -325,3 +326,63 @@ def test_bed_round_trip(spark, tmp_path):
 
 def test_default_threads(spark):
     assert rl.default_threads(spark) == 4
+
+
+def test_a_few_long_ranges_cost_little(spark):
+    """Short ranges must not meet one another in the wide bins of long ones."""
+    made = lambda n, seed: spark.range(n).select(
+        F.col("id").alias("range_id"), F.lit("chr1").alias("seqname"), (F.col("id") * 1000 + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(900))).alias("start"), F.lit("*").alias("strand")
+    )
+    short = lambda n, seed: made(n, seed).withColumn("end", F.col("start") + 99)
+    n = 120_000
+    long = spark.range(10).select((F.col("id") + n).alias("range_id"), F.lit("chr1").alias("seqname"), F.lit(1).cast("long").alias("start"), F.lit("*").alias("strand"), F.lit(1000 * n).cast("long").alias("end"))
+    q, s = rl.RangeSet.of_genomic(short(n, 1)), rl.RangeSet.of_genomic(short(n, 2))
+    with_long = rl.RangeSet.of_genomic(short(n, 2).unionByName(long))
+    timed = lambda x: (time.perf_counter(), rl.find_overlaps(q, x).count(), time.perf_counter())
+    timed(s)
+    a, few, b = timed(s)
+    c, many, d = timed(with_long)
+    assert many - few >= 10 * (n - 1)
+    assert d - c < 2 * (b - a) + 3
+    assert rl.find_overlaps(with_long, s).count() == n + 10 * n
+
+
+def test_one_long_axis_is_no_quadratic_scan(spark):
+    rows = spark.range(150_000).select(F.col("id").alias("range_id"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 3).alias("end"))
+    x = rl.RangeSet.of_plain(rows)
+    began = time.perf_counter()
+    assert rl.precede(x, x).filter("subject_id = query_id + 1").count() == 149_999
+    assert rl.coverage(x).count() == 300_000
+    assert time.perf_counter() - began < 60
+
+
+def test_a_saved_index_is_joined_without_exchanging_it(spark, tmp_path):
+    q, s = draw(91, 60), draw(92, 150)
+    loaded = rl.load_index(spark, rl.save_index(rl.build_index(genomic(spark, s)), str(tmp_path / "index")))
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rl.find_overlaps(genomic(spark, q), loaded, max_gap=3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert got_pairs(found) == oracle.pairs(q, s, max_gap=3)
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= plan.count("SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+
+
+def test_options_are_validated(spark):
+    x = plain(spark, [(1, 5)])
+    for options in ({"threads": 0}, {"threads": True}, {"threads": float("inf")}, {"deterministic": 1}):
+        with pytest.raises(ValueError):
+            rl.find_overlaps(x, x, **options)
+        with pytest.raises(ValueError):
+            rl.count_overlaps(x, x, **options)
+    with pytest.raises(ValueError, match="numeric"):
+        rl.find_overlaps(x, x, max_gap=float("inf"))
+
+
+def test_tiles_far_along_the_axis(spark):
+    rows = spark.createDataFrame([(i, 2_000_000_000 + i, 2_000_000_009 + i, 0.1) for i in range(50)], "range_id long, start long, end long, w double")
+    x = rl.RangeSet.of_plain(rows)
+    got = rl.tile_coverage(x, tile_width=1_000_000_000, weight="w").collect()
+    assert abs(sum(r.coverage_sum for r in got) - 50.0) < 1e-9
