@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -56,6 +57,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Have executors collect their garbage, so that their heaps shrink between heavy
+    steps. Some executors may be missed; that costs nothing but their memory."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
+def give_back_memory() -> None:
+    """Return what a reused worker holds from earlier steps to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the C library that has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def local_path(uri: str) -> str:
     """The mounted path of a ``file:`` folder (workers open model files by path)."""
     if uri.startswith("file:"):

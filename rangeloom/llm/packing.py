@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import text_or_empty
+from rangeloom.llm.common import give_back_memory, text_or_empty
 from rangeloom.llm.wordtok import WordTokenizer
 
 PIECES = (
@@ -44,6 +44,7 @@ class VectorPacker:
         self.cap = np.array([seq_len, max_segments, max_loss], float)
         self.window = window
         self.pool: list[tuple] = []
+        self.tokens = 0  # in the pool
 
     @staticmethod
     def _loss(piece: tuple) -> int:
@@ -75,22 +76,28 @@ class VectorPacker:
             if n == whole:
                 yield [head]
             else:
-                self.pool.append(head)
+                self._wait(head)
         if len(piece[2]):
-            self.pool.append(piece)
-        if len(self.pool) >= self.window:
-            yield from self._pack(self.window // 2)
+            self._wait(piece)
+        if len(self.pool) >= self.window and self.tokens >= 4 * whole:
+            yield from self._pack(self.window // 2, whole)
+
+    def _wait(self, piece: tuple) -> None:
+        self.pool.append(piece)
+        self.tokens += len(piece[2])
 
     def finish(self) -> Iterator[list[tuple]]:
-        yield from self._pack(0)
+        yield from self._pack(0, 0)
 
-    def _pack(self, leave: int) -> Iterator[list[tuple]]:
+    def _pack(self, leave: int, tokens: int) -> Iterator[list[tuple]]:
+        """Pack until ``leave`` pieces or fewer than ``tokens`` tokens are left, so
+        that no sequence but the last ones ends for want of pieces."""
         pool = self.pool
         demand = np.array([(len(p[2]), 1, self._loss(p)) for p in pool], float).reshape(-1, 3)
         alive = np.ones(len(pool), bool)
         left = len(pool)
         weight = (demand / self.cap).mean(axis=0) if left else np.zeros(3)
-        while left > leave:
+        while left > leave and self.tokens >= tokens:
             room, chosen = self.cap.copy(), []
             while left:
                 score = demand @ (weight * room / self.cap**2)
@@ -111,6 +118,7 @@ class VectorPacker:
                         chosen.append(head)
                         demand[i] = (len(pool[i][2]), 1, self._loss(pool[i]))
                 break
+            self.tokens -= sum(len(p[2]) for p in chosen)
             yield chosen
         self.pool = [p for p, a in zip(pool, alive) if a]
 
@@ -164,7 +172,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     seq_len: int = 2048,
-    max_segments: int = 128,
+    max_segments: int | None = None,
     max_loss_tokens: int | None = None,
     end_id: int = 1,
     window: int = 1024,
@@ -172,23 +180,27 @@ def pack_documents(
     """Tokenize documents, end each with ``end_id`` and pack them; a row a piece.
 
     Every id of a document lies in exactly one piece; ``ids`` holds them as
-    little-endian unsigned 32-bit integers. All tokens of a document bear loss.
+    little-endian unsigned 32-bit integers. All tokens of a document bear loss. The
+    limits on segments and loss-bearing tokens are ``seq_len`` unless given, so that
+    a table of tiny texts is packed as tightly as any: padding remains in the last
+    sequences of a task alone.
     A null or empty text is one piece of the end id alone; repeated rows are
     packed as often as they occur; an empty table gives no rows. ``sequence_id``
     is unique over the table and depends only on how the input is partitioned.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        give_back_memory()
         words = WordTokenizer.load(tokenizer_path)
-        end = int(end_id).to_bytes(4, "little")
+        end = np.array([end_id], np.uint32)
 
         def examples():
             for b in batches:
-                for key, text in zip(b.column(0), b.column(1)):
-                    raw = text.as_buffer().to_pybytes()
-                    yield key.as_py(), np.frombuffer(words.encode(raw) + end, "<u4"), None
+                for key, ids in zip(b.column(0), words.encode_texts(b.column(1))):
+                    yield key.as_py(), np.concatenate((ids, end)), None
 
-        yield from _pack_stream(examples(), VectorPacker(seq_len, max_segments, max_loss_tokens or seq_len, window))
+        yield from _pack_stream(examples(), VectorPacker(seq_len, max_segments or seq_len, max_loss_tokens or seq_len, window))
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, PIECES)
 
@@ -211,23 +223,25 @@ def pack_conversations(
     """Pack conversations; only turns of ``loss_role`` bear loss.
 
     One example a conversation, its turns in order (ties by role, then text),
-    each ended by ``end_id``. Null texts are empty turns. Same output as
-    :func:`pack_documents`, with ``doc_id`` the conversation's id.
+    each ended by ``end_id``. Null texts are empty turns; a turn without an id is an
+    example of its own. Same output as :func:`pack_documents`, with ``doc_id`` the
+    conversation's id. A conversation's turns are held in memory at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        give_back_memory()
         words = WordTokenizer.load(tokenizer_path)
-        end = int(end_id).to_bytes(4, "little")
+        end = np.array([end_id], np.uint32)
 
         def examples():
-            for b in batches:
-                for row in b.to_pylist():
-                    ids, loss = [], []
-                    for t in row["turns"]:
-                        one = np.frombuffer(words.encode(t["text"].encode()) + end, "<u4")
-                        ids.append(one)
-                        loss.append(np.full(len(one), t["role"] == loss_role))
-                    yield row["doc_id"], np.concatenate(ids), np.concatenate(loss)
+            for row in (r for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist()):
+                ids, loss = [], []
+                for t, own in zip(row["turns"], words.encode_texts(pa.array([t["text"] for t in row["turns"]], pa.string()))):
+                    one = np.concatenate((own, end))
+                    ids.append(one)
+                    loss.append(np.full(len(one), t["role"] == loss_role))
+                yield row["doc_id"], np.concatenate(ids), np.concatenate(loss)
 
         yield from _pack_stream(examples(), VectorPacker(seq_len, max_segments, max_loss_tokens, window))
 
@@ -235,4 +249,6 @@ def pack_conversations(
         F.col(conv_col).cast("long").alias("doc_id"),
         F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), text_or_empty(text_col).alias("text")).alias("t"),
     )
-    return turns.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).mapInArrow(run, PIECES)
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    whole = turns.withColumn("alone", alone).groupBy("doc_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    return whole.drop("alone").mapInArrow(run, PIECES)

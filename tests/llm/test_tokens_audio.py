@@ -4,13 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rangeloom.llm import packing, telephony
+from rangeloom.llm import packing, telephony, wordtok
 from rangeloom.llm.bytebpe import ByteBPE, decode_documents, encode_documents
 from rangeloom.llm.queries import QUERIES
 from rangeloom.llm.wordtok import WordTokenizer
@@ -37,6 +38,23 @@ def test_word_ids_are_the_tokenizers(spark):
         assert np.frombuffer(own.encode(t.encode()), "<u4").tolist() == given.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_word_ids_of_every_character():
+    own, given = WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    texts = [f"ad{c}. {c}a, V{c}L{c}; .{c}! {c}" for c in map(chr, [*range(0x21, 0xD800), *range(0xE000, 0x20000)])] + ["Lİ.", "adı VELİ, sonra", "İİ. İ!", "a|b | || <|endoftext|>."]
+    for t, ids in zip(texts, own.encode_texts(pa.array(texts))):
+        assert ids.tolist() == given.encode(t, add_special_tokens=False).ids, t
+
+
+def test_word_ids_with_a_tiny_cache_and_long_texts(monkeypatch):
+    monkeypatch.setattr(wordtok, "_SLICE", 4096)
+    rng, given, own = random.Random(5), Tokenizer.from_file(WORDS), WordTokenizer(WORDS, cache_bytes=1 << 14)
+    word = lambda: "".join(rng.choice("aBcdé.,日'") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(rng.choice([0, 1, 40, 5000]))) for _ in range(60)] + ["x" * 20000 + " y", "", " \n"]
+    for t, ids in zip(texts, own.encode_texts(pa.array(texts))):
+        assert ids.tolist() == given.encode(t, add_special_tokens=False).ids, t[:80]
+    assert own.old.size + own.young.size < 4 << 20
+
+
 def check_packing(pieces, lengths, seq_len, segments, loss):
     by_doc, by_seq = {}, {}
     for p in pieces:
@@ -79,6 +97,34 @@ def test_packing_odd_rows_and_crc(spark):
     assert packing.pack_documents(rows(spark).limit(0), WORDS).count() == 0
 
 
+def test_packing_query(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    given = Tokenizer.from_file(WORDS)
+    ids = {i: given.encode(t, add_special_tokens=False).ids + [1] for i, t in docs.items()}
+    got = QUERIES["op1_packing"](spark, "/root/testdata/sf0.001").collect()
+    assert check_packing(got, {k: len(v) for k, v in ids.items()}, 2048, 2048, 2048) < 0.03
+    for p in got:
+        assert p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes())
+
+
+def test_packing_of_tiny_texts_and_null_ids(spark):
+    got = packing.pack_documents(spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).coalesce(1), WORDS).collect()
+    assert len(got) == 10_000 and len({p.sequence_id for p in got}) == 5
+    got = packing.pack_documents(spark.createDataFrame([(None, "a b"), (None, None), (2, "c")], "doc_id long, text string"), WORDS).collect()
+    assert sorted((p.doc_id or 0, p.doc_tokens) for p in got) == [(0, 1), (0, 3), (2, 2)]
+
+
+def test_packing_conversations_query(spark):
+    got = QUERIES["pack_conversations"](spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for p in got:
+        n = by.setdefault(p.sequence_id, [0, 0, 0])
+        by[p.sequence_id] = [n[0] + p.length, n[1] + 1, n[2] + p.loss_tokens]
+    assert max(n[0] for n in by.values()) <= 2048 and max(n[1] for n in by.values()) <= 32 and max(n[2] for n in by.values()) <= 1536
+    talk = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (1, 1, "user", "b"), (1, 0, "user", "c d")], "conv_id long, turn int, role string, text string")
+    assert sorted((p.doc_id or 0, p.length, p.loss_tokens) for p in packing.pack_conversations(talk, WORDS).collect()) == [(0, 2, 0), (0, 2, 0), (1, 5, 0)]
+
+
 def test_packing_repeated_rows(spark):
     got = packing.pack_documents(spark.createDataFrame([(1, "a b")] * 3, "doc_id long, text string").coalesce(1), WORDS).collect()
     assert sorted(p.offset for p in got) == [0, 3, 6]
