@@ -12,14 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm import lines, neardup, packing, pii, quality
-from rangeloom.llm.common import materialize
+from rangeloom.llm.common import materialize, release, shrink_executors
 from rangeloom.llm.queries import quality_model
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _begin(spark: SparkSession) -> None:
+    """Let go of what earlier stages hold on the driver and the executors."""
+    release(spark)
+    shrink_executors(spark)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    _begin(spark)
     scored = quality.score(docs, quality_model(spark, sf_dir, docs), carry=COLUMNS)
     return scored.filter("quality_score >= 0.3").select(*COLUMNS)
 
@@ -31,12 +38,14 @@ def _with_text(df: DataFrame) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of such lines alone."""
+    _begin(spark)
     out = lines.dedup_lines(docs, carry=COLUMNS)
     return _with_text(out.filter("n_full > 0 or n_kept = n_lines"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate documents the one of the least id stays."""
+    _begin(spark)
     gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     gone, _ = materialize(gone, "gone")
     side = F.broadcast(gone) if gone.count() <= neardup.BROADCAST_IDS else gone
@@ -45,11 +54,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
+    _begin(spark)
     return _with_text(pii.redact(docs, carry=COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2048, a row a piece."""
+    _begin(spark)
     pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
