@@ -1,8 +1,9 @@
 """Secrets: known shapes, and strings that a battery of randomness tests accepts.
 
-Built-in functions only. Candidates are long runs of token characters. Each gets
-an inferred encoding (the smallest alphabet that holds it); its characters become
-numbers in that alphabet, on which run
+Built-in functions only. Candidates are runs of ``16`` token characters and more
+that aren't plain words (letters only, of one case or capitalised: a secret of that
+kind is left out). Each gets an inferred encoding, the smallest alphabet that holds
+it; its characters become numbers in that alphabet, on which run
 
 * a chi-squared test of uniformity over nine equal-probability bins (8 degrees
   of freedom),
@@ -10,15 +11,20 @@ numbers in that alphabet, on which run
 * the lag-one serial correlation.
 
 The sum of the three is chi-squared with ten degrees of freedom for random text;
-its upper tail, in closed form, is the candidate's randomness. Whether a value is
-out of the ordinary is judged against ordinary words of about the same length in
-the same table (letters only, one case or capitalised), whose randomness values
-are the null distribution; within each length class the Benjamini-Hochberg rule
-at ``fdr`` sets the threshold.
+a candidate whose upper tail, in closed form, is below ``min_random`` isn't random
+and is out. The others are weighed against ordinary text: under a fixed model of
+words, numbers, paths and identifiers (chances of the next character's kind, and of
+the letter), the ratio of the string's chance to its chance as random text of its
+encoding is a valid p-value, as a ratio of likelihoods reaches 1/p with a chance of
+at most p. It needs nothing of the table at hand, and sharpens with every character
+of a string. Within each length class the Benjamini-Hochberg rule at ``fdr`` then
+picks the strings that are reported.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +54,12 @@ ENCODINGS = [
 ]
 BINS, LEVELS, CLASSES = 9, 400, 6
 ORDINARY = r"^[A-Za-z]?[a-z]+$|^[A-Z]+$"
+# Ordinary text: kinds of characters (lower, upper, digit, mark), the chances of the
+# first one's kind and of the next one's kind after each, and letters in 1/1000.
+KINDS = [(2, ENCODINGS[8][2][52:62]), (1, ENCODINGS[8][2][:26]), (0, ENCODINGS[8][2][26:52]), (3, "+/-_")]
+FIRST = [0.50, 0.30, 0.15, 0.05]
+AFTER = [[0.90, 0.02, 0.02, 0.06], [0.55, 0.35, 0.04, 0.06], [0.03, 0.02, 0.80, 0.15], [0.55, 0.20, 0.20, 0.05]]
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", [80, 16, 32, 42, 130, 19, 21, 40, 74, 4, 10, 45, 27, 72, 74, 22, 4, 64, 68, 83, 33, 11, 14, 5, 12, 8]))
 
 
 def _codes(text: Column) -> tuple[Column, Column, Column]:
@@ -104,38 +116,52 @@ def randomness(df: DataFrame, text_col: str) -> DataFrame:
     return df.select("*", tail.alias("p_random")).drop("_k", "_c", "_n", "_mid", "_chi", "_runs", "_up", "_lag", "_var", "_x")
 
 
+def text_chance(letter: str, before: str | None) -> float:
+    """Chance of a character after another (None: as the first) in ordinary text."""
+    kind = next(k for k, letters in KINDS if letter in letters)
+    row = FIRST if before is None else AFTER[next(k for k, letters in KINDS if before in letters)]
+    share = {0: LETTERS.get(letter, 0) / sum(LETTERS.values()), 1: 1 / 26, 2: 1 / 10, 3: 1 / 4}[kind]
+    return row[kind] * share
+
+
+def as_text(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``level``: tenths of decimal orders by which the string is less
+    likely as ordinary text than as random text of its encoding (0 to ``LEVELS``);
+    its p-value is at most ``10 ** (-level / 10)``."""
+    letters = "".join(a for _, a in KINDS)
+    numbers = lambda values: F.expr(f"array({', '.join(f'{v!r}D' for v in values)})")
+    # log10 of a kind's chance first, then after each kind; of a letter's within its kind.
+    kinds = numbers([math.log10(x) for row in (FIRST, *AFTER) for x in row])
+    shares = numbers([math.log10(text_chance(c, None) / FIRST[k]) for k, a in KINDS for c in a])
+    _, size, _ = _codes(F.col(text_col))
+    body = F.regexp_replace(text_col, "=+$", "")
+    codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.instr(F.lit(letters), c) - 1)
+    df = df.select("*", size.cast("double").alias("_k"), codes.alias("_c"))
+    ends = [sum(len(a) for _, a in KINDS[: k + 1]) for k in range(len(KINDS))]
+    kind = lambda c: F.when(c < ends[0], KINDS[0][0]).when(c < ends[1], KINDS[1][0]).when(c < ends[2], KINDS[2][0]).otherwise(KINDS[3][0])
+    df = df.select("*", F.transform("_c", lambda c: kind(c)).alias("_s"))
+    steps = F.transform("_c", lambda c, i: F.get(shares, c) + F.get(kinds, F.when(i == 0, F.lit(0)).otherwise(4 * (F.get("_s", i - 1) + 1)) + F.get("_s", i)))
+    df = df.select("*", F.aggregate(steps, F.lit(0.0), lambda a, x: a + x).alias("_t"))
+    below = F.size("_c") * F.log10("_k") + F.col("_t")
+    return df.select("*", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(below * -10))).cast("int").alias("level")).drop("_k", "_c", "_s", "_t")
+
+
 def _length_class(text: Column) -> Column:
     """Lengths of 16, 21, 27, 36, 48 and 64 characters begin a class."""
     return F.least(F.floor(F.log2(F.length(text) / 16.0) * 2.5), F.lit(CLASSES - 1)).cast("int")
 
 
-def _level(p: Column) -> Column:
-    """Randomness on a fixed logarithmic grid, so that its counts stay bounded."""
-    return F.greatest(F.lit(0), F.least(F.lit(LEVELS), LEVELS + F.floor(F.log10(F.greatest(p, F.lit(1e-40))) * 10))).cast("int")
-
-
 def thresholds(tested: DataFrame, fdr: float) -> DataFrame:
     """``(length_class, min_level)`` by Benjamini-Hochberg; at most six rows.
 
-    ``tested`` has a row a distinct string: ``length_class``, ``level``,
-    ``ordinary``. The counts per class and level are a fixed-size table. A word
-    also stands for the longer classes: its randomness, if anything, is higher.
+    ``tested`` has a row a distinct string: ``length_class`` and ``level``. The
+    counts per class and level are a fixed-size table.
     """
-    classes = F.when(F.col("ordinary"), F.sequence(F.col("length_class"), F.lit(CLASSES - 1))).otherwise(F.array("length_class"))
-    tested = tested.select(F.explode(classes).alias("length_class"), "level", "ordinary")
-    counts = tested.groupBy("length_class", "level").agg(
-        F.sum(F.when(F.col("ordinary"), 1).otherwise(0)).alias("null_n"), F.sum(F.when(F.col("ordinary"), 0).otherwise(1)).alias("n")
-    )
+    counts = tested.groupBy("length_class", "level").agg(F.count("*").alias("n"))
     at_least = Window.partitionBy("length_class").orderBy(F.desc("level"))
     whole = Window.partitionBy("length_class")
-    ranked = counts.select(
-        "length_class",
-        "level",
-        ((F.sum("null_n").over(at_least) + 1) / (F.sum("null_n").over(whole) + 1)).alias("p"),
-        F.sum("n").over(at_least).alias("found"),
-        F.sum("n").over(whole).alias("all"),
-    )
-    passing = ranked.filter((F.col("found") > 0) & (F.col("p") * F.col("all") <= fdr * F.col("found")))
+    ranked = counts.select("length_class", "level", F.sum("n").over(at_least).alias("found"), F.sum("n").over(whole).alias("all"))
+    passing = ranked.filter(F.pow(F.lit(10.0), -F.col("level") / 10) * F.col("all") <= fdr * F.col("found"))
     return passing.groupBy("length_class").agg(F.min("level").alias("min_level"))
 
 
@@ -158,7 +184,6 @@ def find_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         *(sp.positions(F.col("text"), p, F.col(f"m_{k}")).alias(f"s_{k}") for k, p in BASE.items()),
         # Positions cost more than the matches, and most long strings are ordinary words.
         F.when(F.exists("m_random", lambda t: ~usual(t)), sp.positions(F.col("text"), CANDIDATE, F.col("m_random"))).alias("s_random"),
-        F.array_distinct(F.filter("m_random", usual)).alias("ordinary"),
     )
     found = found.select(
         "doc_id",
@@ -166,12 +191,11 @@ def find_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.filter("s_access", lambda s: F.length(s["text"]) >= 20).alias("s_access"),
         "s_hex",
         F.filter("s_random", lambda s: ~usual(s["text"])).alias("s_random"),
-        "ordinary",
     )
     found, _ = materialize(found, "secrets")
-    strings = found.select(F.explode("ordinary").alias("s")).union(found.select(F.explode("s_random.text"))).distinct()
-    tested = randomness(strings, "s")
-    cuts = thresholds(tested.select(_length_class(F.col("s")).alias("length_class"), _level(F.col("p_random")).alias("level"), usual(F.col("s")).alias("ordinary")), fdr).collect()
+    strings = found.select(F.explode("s_random.text").alias("s")).distinct()
+    tested = as_text(randomness(strings, "s").filter(F.col("p_random") >= min_random).select("s"), "s")
+    cuts = thresholds(tested.select(_length_class(F.col("s")).alias("length_class"), "level"), fdr).collect()
     level = F.lit(LEVELS + 1)
     for row in cuts:  # a row a length class
         level = F.when(F.col("length_class") == row["length_class"], row["min_level"]).otherwise(level)
@@ -184,7 +208,7 @@ def find_secrets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         ~F.exists("base", lambda s: (s["start"] < F.col("r.end")) & (F.col("r.start") < s["end"]))
     )
     free = randomness(free.select("row", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("r.text").alias("s")), "s")
-    free = free.withColumn("length_class", _length_class(F.col("s"))).filter((_level(F.col("p_random")) >= level) & (F.col("p_random") >= min_random))
+    free = as_text(free.filter(F.col("p_random") >= min_random), "s").withColumn("length_class", _length_class(F.col("s"))).filter(F.col("level") >= level)
     added = free.groupBy("row").agg(
         F.collect_list(F.struct("start", F.lit(len(BASE)).alias("kind_no"), F.lit("random").alias("kind"), "end", F.col("s").alias("text"))).alias("added")
     )

@@ -94,6 +94,12 @@ def test_context_adjusts_the_score(spark):
     assert high > mid > low
 
 
+def test_context_decides_for_added_kinds(spark):
+    texts = ["ssn 123-45-6789", "123-45-6789 is the social security number", "part 123-45-6789", "order no DE89370400440532013000", "order of the account DE89370400440532013000", "DE89370400440532013000", "123-45-6789 " + "x" * 60 + " ssn"]
+    got = [[s.kind for s in r.spans] for r in pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert [[k for k in g if k in pii.ADDED] for g in got] == [["ssn"], ["ssn"], [], [], ["iban"], ["iban"], []]
+
+
 def test_redaction(spark):
     texts = ["mail é a@b.cc or +1 (988) 555-2485.", "plain", None, "4111111111111111@x.yz end"]
     got = [r.text for r in pii.redact(frame(spark, texts)).orderBy("doc_id").collect()]
@@ -183,6 +189,52 @@ def test_random_strings_are_found_and_words_left_alone(spark):
     assert hits >= 18  # a random string falls below the threshold as often as random p-values do
 
 
+def keys(rng, n, lengths, alphabet=secrets.ENCODINGS[5][2]):
+    return ["".join(rng.choice(alphabet) for _ in range(rng.choice(lengths))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 50, 3000])
+def test_secrets_are_found_in_a_table_of_any_size(spark, n):
+    rng = random.Random(n)
+    made = keys(rng, min(n, 100), [24, 32, 40, 64])
+    texts = [f"see {k} there" for k in made] + [f"an ordinary line of text {i}" for i in range(n - len(made))]
+    got = {r.doc_id: [s.text for s in r.spans] for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    assert sum(got[i] == [k] for i, k in enumerate(made)) >= 0.9 * len(made) and not any(got[i] for i in range(len(made), n))
+
+
+def test_a_flood_of_slugs_hides_no_secret(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["the", "ing", "er", "tion", "an", "ly", "st", "ou", "ble"]) for _ in range(rng.randint(1, 3)))
+    slugs = ["-".join(word() for _ in range(12)) for _ in range(3000)] + [f"20{rng.randint(10, 30)}-{rng.randint(10, 12)}-{rng.randint(10, 30)}_{rng.randint(10**12, 10**13)}" for _ in range(500)]
+    slugs += ["get" + "".join(word().capitalize() for _ in range(6)) for _ in range(500)]
+    made = keys(rng, 50, [20, 64]) + keys(rng, 50, [32], "abcdefghijklmnopqrstuvwxyz0123456789") + keys(rng, 50, [40], secrets.ENCODINGS[6][2])
+    got = {r.doc_id: [s.text for s in r.spans] for r in secrets.find_secrets(frame(spark, made + slugs)).collect()}
+    assert sum(got[i] == [k] for i, k in enumerate(made)) >= 0.9 * len(made)
+    assert sum(bool(got[len(made) + i]) for i in range(len(slugs))) <= 0.05 * len(made)
+
+
+def brute_level(text):
+    size = next(len(a) for _, p, a in secrets.ENCODINGS if re.search(p, text))
+    body = text.rstrip("=")
+    chance = sum(math.log10(secrets.text_chance(c, body[i - 1] if i else None)) for i, c in enumerate(body))
+    return max(0, min(secrets.LEVELS, math.floor(-10 * (chance + len(body) * math.log10(size)))))
+
+
+def test_selection_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = keys(rng, 60, [16, 18, 24, 30, 50, 70]) + ["-".join(keys(rng, 3, [5, 6], "abcdeimnorst")) for _ in range(200)] + ["a1" * 9, "AAAA1111" * 3, "QUJDREVGR0hJSktMTU5PUFFSU1RVVg=="]
+    got = {r.doc_id: [s.text for s in r.spans if s.kind == "random"] for r in secrets.find_secrets(frame(spark, texts), fdr=0.01).collect()}
+    known = {i: [s.text for s in r.spans] for i, r in ((r.doc_id, r) for r in secrets.find_secrets(frame(spark, texts)).collect())}
+    tested = {t: (math.floor(math.log2(len(t) / 16) * 2.5), brute_level(t)) for t in texts if brute_randomness(t)[1] >= 1e-4}
+    want = set()
+    for c in range(6):
+        levels = sorted((lv for k, lv in tested.values() if min(k, 5) == c), reverse=True)
+        passing = [lv for lv in levels if 10 ** (-lv / 10) * len(levels) <= 0.01 * sum(x >= lv for x in levels)]
+        want |= {t for t, (k, lv) in tested.items() if min(k, 5) == c and passing and lv >= min(passing)}
+    base = {t for t in texts if brute_secrets(t)}
+    assert {t for i in got for t in got[i]} == want - base and 40 <= len(want) and len(known) == len(texts)
+
+
 def test_secret_query(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     got = QUERIES["op4_secrets"](spark, "/root/testdata/sf0.01").collect()
