@@ -155,17 +155,20 @@ def near_duplicate_vectors(
         v = np.array(pdf["v"].tolist(), np.float64)
         # Scaled by a power of two, exactly, so that squares neither overflow nor vanish.
         v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
-        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "block": [key[2]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [v.tobytes()]})
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "block": [key[2]], "n": [pdf["n"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [v.tobytes()]})
 
     placed = usable.join(groups, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "n"))
     blocks, _ = materialize(
-        placed.groupBy("label", "dim", "block").applyInPandas(gather, "label string, dim int, block long, ids binary, data binary"), "blocks"
+        placed.groupBy("label", "dim", "block").applyInPandas(gather, "label string, dim int, block long, n long, ids binary, data binary"), "blocks"
     )
-    p = blocks.select("label", "dim", F.col("block").alias("i"), F.col("ids").alias("p_ids"), F.col("data").alias("p"))
-    q = blocks.select("label", "dim", F.col("block").alias("j"), F.col("ids").alias("q_ids"), F.col("data").alias("q"))
-    # Tiles are few and heavy: a fixed number of partitions, however small their bytes.
+    # A block goes to each of its tiles, and a tile is a join key of its own, so that a
+    # label of any size is shared out. Tiles are few and heavy: a fixed number of
+    # partitions, however small their bytes.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = p.join(q, ["label", "dim"]).filter("i <= j").repartition(parts, "label", "dim", "i", "j")
+    tile = ["label", "dim", "i", "j"]
+    p = blocks.select("label", "dim", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("n") - 1)).alias("j"), F.col("ids").alias("p_ids"), F.col("data").alias("p"))
+    q = blocks.select("label", "dim", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), F.col("ids").alias("q_ids"), F.col("data").alias("q"))
+    tiles = p.repartition(parts, *tile).join(q.repartition(parts, *tile), tile)
     links = _tiles(tiles.select((F.col("i") == F.col("j")).alias("same"), "p_ids", "p", "q_ids", "q"), threshold)
     links, _ = materialize(links, "links")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
