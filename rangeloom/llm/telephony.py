@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import text_or_empty
+from rangeloom.llm.common import give_back_memory, text_or_empty
 
 RATE = 8000
 CODECS = ("mulaw", "alaw", "adpcm")
 _FORMAT = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 1 << 20
 
 
 def _mulaw_table() -> np.ndarray:
@@ -198,6 +198,7 @@ def decode_media(df: DataFrame, *, rate: int = 16000, keep_pcm: bool = True, med
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for b in batches:
             for part, files in _chunks(b, 0):
                 rows = _decode_all(files, up, filters)
