@@ -2,8 +2,9 @@
 
 Built-in functions only. Patterns propose spans; validators drop those that fail
 (octets of an address, Luhn for cards, mod-97 for bank account numbers, issued
-ranges for social-security numbers); words just before a span raise or lower its
-score. ``BASE`` kinds stay whatever their score; the others need ``min_score``.
+ranges for social-security numbers); words within ``CONTEXT`` characters before or
+after a span raise its score, some before it lower it. ``BASE`` kinds stay whatever their score; the
+others need ``min_score``, so that context decides for them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ ADDED = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.6, "ssn": 0.3}
 _NEAR = {
     "email": "mail|contact|courriel|correo|kontakt|write to",
     "ip": r"\bip\b|address|host|server|login",
@@ -84,8 +85,10 @@ def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     def scored(kind: str) -> Column:
         def score(s: Column) -> Column:
             from_ = F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int")
-            near = F.lower(F.substring(F.col("text"), from_ + 1, s["start"].cast("int") - from_))
-            value = F.lit(_PRIOR[kind]) + F.when(near.rlike(_NEAR[kind]), 0.3).otherwise(0.0) - F.when(near.rlike(_AGAINST), 0.2).otherwise(0.0)
+            before = F.lower(F.substring(F.col("text"), from_ + 1, s["start"].cast("int") - from_))
+            after = F.lower(F.substring(F.col("text"), s["end"].cast("int") + 1, F.lit(CONTEXT)))
+            near = before.rlike(_NEAR[kind]) | after.rlike(_NEAR[kind])
+            value = F.lit(_PRIOR[kind]) + F.when(near, 0.3).otherwise(0.0) - F.when(before.rlike(_AGAINST), 0.2).otherwise(0.0)
             return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
                             F.round(F.least(value, F.lit(1.0)), 3).alias("score"))
 

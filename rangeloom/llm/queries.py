@@ -20,6 +20,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: all three limits bind, as only the assistant's turns bear loss."""
+    pieces = packing.pack_conversations(_table(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
@@ -35,7 +41,7 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = telephony.store_texts(_table(spark, sf_dir, "documents"))
-    read = telephony.decode_media(stored, keep_pcm=False, carry=("doc_id", "n_bytes"))
+    read = telephony.decode_media(stored, carry=("doc_id", "n_bytes"))
     return read.select(
         "doc_id",
         "n_bytes",
@@ -45,6 +51,8 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 
@@ -106,6 +114,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k) for k in pii.BASE),
         F.sha2(F.array_join(spans.keys(base), ","), 256).alias("base_sha256"),
         F.array_join(spans.keys(F.col("spans")), ",").alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
@@ -120,4 +129,5 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "pack_conversations": pack_conversations,
 }
