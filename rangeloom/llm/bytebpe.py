@@ -20,10 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import text_or_empty
+from rangeloom.llm.common import give_back_memory, text_or_empty
 
-CACHE_PIECES = 1_200_000
-CACHE_PAIRS = 2_000_000
+CACHE_BYTES = 224 << 20  # of pieces, emptied when it is full
+CACHE_PAIRS = 1_000_000
+_ENTRY = 190  # bytes that a piece takes besides its text and ids
 _CHUNK_BYTES = 4 << 20
 
 
@@ -47,6 +48,7 @@ class ByteBPE:
         self.prefixes: dict[int, int | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.size = 0
 
     @classmethod
     def load(cls, path: str, pattern: str) -> "ByteBPE":
@@ -130,8 +132,10 @@ class ByteBPE:
     def _cached(self, piece: str) -> bytes:
         ids = np.array(self.encode_piece(piece.encode()), "<i4").tobytes()
         if len(piece) <= 64:
-            if len(self.cache) >= CACHE_PIECES:
+            self.size += _ENTRY + len(piece) + len(ids)
+            if self.size > CACHE_BYTES:
                 self.cache.clear()
+                self.size = 0
             self.cache[piece] = ids
         return ids
 
@@ -152,6 +156,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, *, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         bpe = ByteBPE.load(ranks_path, pattern)
         for b in batches:
             keys, parts, size = [], [], 0
