@@ -21,7 +21,7 @@ from rangeloom.functions.predicate import Match, overlap_condition
 from rangeloom.model import CORE, RangeSet, Stats, side
 
 STEP, SPAN = 16, 8
-HOME = ["seqname", "level", "bin"]
+HOME = ["seqname", "cell"]  # a cell is a bin of a level, in one number
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ class Grid:
 
 def placed(df: DataFrame, prefix: str, pad: int, grid: Grid, lifted: list[int] | None) -> DataFrame:
     """Rows by bin: at their own levels (``lifted`` None), or at those of the levels
-    ``lifted`` that are coarser. Adds ``low, high, level, bin`` under the prefix."""
+    ``lifted`` that are coarser. Adds ``low, high, level, bin, cell`` under the prefix."""
     start, end = F.col(prefix + "start") - pad, F.col(prefix + "end") + pad
     df = df.withColumns({f"{prefix}low": F.least(start, end), f"{prefix}high": F.greatest(start, end)})
     low, high, level = F.col(f"{prefix}low"), F.col(f"{prefix}high"), F.col(f"{prefix}level")
@@ -72,7 +72,8 @@ def placed(df: DataFrame, prefix: str, pad: int, grid: Grid, lifted: list[int] |
         df = df.withColumn(f"{prefix}level", own.cast("int"))
     else:
         df = df.withColumn(f"{prefix}level", F.explode(F.filter(F.array(*(F.lit(k) for k in lifted)), lambda k: k > own)))
-    return df.withColumn(f"{prefix}bin", F.explode(F.sequence(F.floor(low / grid.wide(level)), F.floor(high / grid.wide(level)))))
+    df = df.withColumn(f"{prefix}bin", F.explode(F.sequence(F.floor(low / grid.wide(level)), F.floor(high / grid.wide(level)))))
+    return df.withColumn(f"{prefix}cell", F.col(f"{prefix}bin") * 64 + level)
 
 
 def by_bin(subject: RangeSet, grid: Grid) -> tuple[DataFrame, DataFrame]:
@@ -106,14 +107,14 @@ def pairs(query: RangeSet, subject: RangeSet, m: Match, q_meta: tuple[str, ...]
     ready = getattr(subject, "binned", None)
     if ready is not None:
         grid, home, every = ready
-        prefixed = [F.col(f"`{c}`").alias(f"s_{c}") for c in (*CORE, *s_meta, "low", "high", "level", "bin")]
+        prefixed = [F.col(f"`{c}`").alias(f"s_{c}") for c in (*CORE, *s_meta, "low", "high", "level", "bin", "cell")]
         home, every = home.select(*prefixed), every.select(*prefixed)
     else:
         width = 2 * (max(query.stats.width_95, subject.stats.width_95) + pad)
         grid = Grid.of(width, max(query.stats.width_max, subject.stats.width_max) + 2 * pad)
         home, every = placed(s, "s_", 0, grid, None), None
     q_levels, s_levels = grid.own_levels(query.stats, pad), grid.own_levels(subject.stats, 0)
-    on = same & (F.col("q_level") == F.col("s_level")) & (F.col("q_bin") == F.col("s_bin"))
+    on = same & (F.col("q_cell") == F.col("s_cell"))
     on &= (F.col("q_bin") == F.floor(F.greatest("q_low", "s_low") / grid.wide(F.col("q_level")))) & match
     above = [k for k in q_levels if k > s_levels[0]] if s_levels else []
     if ready is None:

@@ -16,13 +16,13 @@ from rangeloom.session import default_threads
 BLOCK = 2048
 FORMAT = 2
 ROWS_PER_BUCKET = 2_000_000
-_LAYOUT = ("low", "high", "level", "bin", "own")
+_LAYOUT = ("low", "high", "level", "bin", "cell", "own")
 
 
 class SubjectIndex:
     """Ranges laid out by bin for repeated queries, with the figures that plans need.
 
-    ``ranges`` carries the layout: rows by (sequence, level, bin), hashed into a
+    ``ranges`` carries the layout: rows by (sequence, cell), hashed into a
     fixed number of partitions and sorted there, so that a query set alone is
     exchanged for a join with it.
     """
