@@ -13,32 +13,31 @@ shingle is left out for where it stands. Lines of far fewer distinct shingles th
 positions (``-----``) are found by their empty buckets and drawn for once more from
 their distinct shingles.
 
-*Candidates.* The minima form groups of five; a band is four of a group, so all 25
-bands together use 25 minima. A pair of similarity 0.8 shares no band in about
-0.2 % of cases, one of 0.85 in 0.02 %. Every member of a bucket is proposed with
-its most frequent line, then members of different components with one another, in
-blocks. Sketches (a byte a minimum) drop proposals that agree in fewer than
-``AGREE`` of the minima, which costs a pair at 0.8 its link in 0.03 % of cases.
-
-*Verification.* Bit sets of the shingles' hashes rule out pairs for certain. Exact Jaccard similarity of the whole shingle sets confirms the
-rest, and distributed union-find keeps one line a component.
+*Candidates.* The minima form groups of five, a row each; a band is four of a group,
+so all 25 bands together use 25 minima. A pair of similarity 0.8 shares no band in
+about 0.2 % of cases, one of 0.85 in 0.02 %. Every member of a bucket is proposed
+with one of them, its pivot, then in buckets of three or more the members of
+different components with one another, in blocks. Sketches (a byte a minimum) drop
+proposals that agree in fewer than ``AGREE`` of the minima, which costs a pair at 0.8
+its link in 0.03 % of cases.
+
+*Verification.* Bit sets of the shingles' hashes rule out pairs for certain. Exact
+Jaccard similarity of the whole shingle sets confirms the rest, and distributed
+union-find keeps one line a component.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import delete_path, materialize, release, text_or_empty
 from rangeloom.llm.graph import connected_components
 
-SHINGLE, GROUPS, SIZE, ROWS = 8, 5, 5, 4
+SHINGLE, GROUPS, SIZE = 8, 5, 5
 MINIMA = GROUPS * SIZE
 DRAWS = 3 * MINIMA
-BANDS = [c for g in range(GROUPS) for c in combinations(range(g * SIZE, (g + 1) * SIZE), ROWS)]
-PASSES = 3  # bands are exchanged in parts, so that one part's files are on disk at a time
+AT_ONCE = 2  # so many groups' bands are exchanged at a time, so that one part's files are on disk
 FILLED, AGREE = 19, 13
 BLOCK = 512
 BROADCAST_ROWS = 500_000
@@ -46,9 +45,9 @@ HOT = 10_000  # classes of more than one in so many lines are few enough to broa
 _PRIORITY = 24  # bits
 _FULL = r"[^\t\r\x20]"
 _NODE = ["h1", "h2"]
-_MINIMA = [f"m{k}" for k in range(MINIMA)]
+_MINIMA = [f"m{k}" for k in range(SIZE)]  # of a group
 _BITS = [f"b{k}" for k in range(32)]
-_SKETCH = [f"s{k}" for k in range(-(-MINIMA // 7))]
+_SKETCH = [f"s{k}" for k in range(GROUPS)]
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,32 +67,46 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _once() -> Column:
+    """A column that is never negative. A filter that reads it isn't moved before its
+    projection, whose expressions would else be evaluated again for each use there."""
+    return F.spark_partition_id().alias("once")
+
+
 def _last(units: Column) -> Column:
     """Where the last shingle begins."""
     return F.greatest(F.lit(0), F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE)
 
 
+def _set(line: Column) -> Column:
+    """The hashes of a line's distinct shingles."""
+    starts = lambda u: F.sequence(F.lit(1), _last(u) * 2 + 1, F.lit(2))
+    return F.array_distinct(F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.transform(starts(u), lambda i: F.xxhash64(F.substr(u, i, F.lit(2 * SHINGLE)))))[0])
+
+
 def _shingle_hash(units: Column, start: Column) -> Column:
     return F.xxhash64(F.substr(units, start * 2 + 1, F.lit(2 * SHINGLE)))
 
 
 def _minima(df: DataFrame, hash_at) -> DataFrame:
-    """``(h1, h2, weight, m0, ...)`` of rows ``(h1, h2, n, ...)`` with ``n`` hashes
-    each, the one at a place given by ``hash_at``. A missing minimum is -1; ``weight`` grows with the rows."""
+    """``(h1, h2, g, m0, ..., m4)``, a row for each class and group of minima, of rows
+    ``(h1, h2, n, ...)`` with ``n`` hashes each, the one at a place given by
+    ``hash_at``. A missing minimum is -1."""
     n, whole = F.col("n"), F.lit(1 << _PRIORITY)
     rounds = F.ceil(F.lit(float(DRAWS)) / n).cast("int")
     bound = F.when(n > DRAWS, (F.lit(float(DRAWS << _PRIORITY)) / n).cast("long")).otherwise(whole)
-    placed = df.select("*", bound.alias("bound"), F.explode(F.sequence(F.lit(0), n * rounds - 1)).alias("i"))
-    again, own = F.expr("i div n"), hash_at(F.expr("i % n"))
-    drawn = placed.select(*_NODE, "bound", "i", again.alias("again"), own.alias("own"))
-    drawn = drawn.select(*_NODE, "bound", "i", "again", F.when(F.col("again") == 0, F.col("own")).otherwise(F.xxhash64("own", "again")).alias("h"))
+    rows = df.select("*", bound.alias("bound"), F.explode(F.sequence(F.lit(0), rounds - 1)).alias("again"))
+    # After a class's first round comes a row without a value for each group, so that none is lost.
+    placed = rows.select("*", F.explode(F.sequence(F.lit(0), n + F.when(F.col("again") == 0, GROUPS - 1).otherwise(-1))).alias("i"))
+    own = placed.select(*_NODE, "n", "bound", "i", "again", hash_at(F.col("i")).alias("own"))
+    hashed = own.select(*_NODE, "n", "bound", "i", "again", F.when(F.col("again") == 0, F.col("own")).otherwise(F.xxhash64("own", "again")).alias("h"), _once())
     low = F.col("h").bitwiseAND(F.lit((1 << _PRIORITY) - 1))
-    # The first row stays, perhaps without a value, so that no class is lost.
-    drawn = drawn.select(*_NODE, "i", (low < F.col("bound")).alias("counts"), F.pmod(F.shiftright("h", 40), F.lit(MINIMA)).alias("bucket"), (F.col("again") * whole + low).cast("int").alias("rank"))
-    drawn = drawn.filter("counts or i = 0")
-    least = (F.min(F.when(F.col("counts") & (F.col("bucket") == k), F.col("rank"))).alias(m) for k, m in enumerate(_MINIMA))
-    made = drawn.groupBy(*_NODE).agg(F.count("*").alias("weight"), *least)
-    return made.select(*_NODE, "weight", *(F.coalesce(m, F.lit(-1)).alias(m) for m in _MINIMA))
+    drawn = hashed.filter(((low < F.col("bound")) | (F.col("i") >= n)) & (F.col("once") >= 0))
+    bucket = F.when(F.col("i") < n, F.pmod(F.shiftright("h", 40), F.lit(MINIMA)).cast("int")).otherwise((F.col("i") - n) * SIZE)
+    drawn = drawn.select(*_NODE, bucket.alias("bucket"), F.when(F.col("i") < n, (F.col("again") * whole + low).cast("int")).alias("rank"))
+    drawn = drawn.select(*_NODE, F.expr(f"cast(bucket div {SIZE} as int)").alias("g"), F.expr(f"bucket % {SIZE}").alias("at"), "rank")
+    made = drawn.groupBy(*_NODE, "g").agg(*(F.min(F.when(F.col("at") == k, F.col("rank"))).alias(m) for k, m in enumerate(_MINIMA)))
+    return made.select(*_NODE, "g", *(F.coalesce(m, F.lit(-1)).alias(m) for m in _MINIMA))
 
 
 def _empty(minima: list[str]) -> Column:
@@ -101,21 +114,17 @@ def _empty(minima: list[str]) -> Column:
     return sum(((F.col(m) < 0).cast("int") for m in minima[1:]), (F.col(minima[0]) < 0).cast("int"))
 
 
-def _band(band: int) -> Column:
-    """A band's key; 0 if two or more of its minima are missing."""
-    parts = [_MINIMA[k] for k in BANDS[band]]
-    return F.when(_empty(parts) < 2, F.xxhash64(F.lit(band), *parts)).otherwise(F.lit(0).cast("long"))
+def _band(left_out: int) -> Column:
+    """The key of a group's band without one of its minima; 0 if two or more of the others are missing."""
+    parts = [m for k, m in enumerate(_MINIMA) if k != left_out]
+    return F.when(_empty(parts) < 2, F.xxhash64("g", F.lit(left_out), *parts)).otherwise(F.lit(0).cast("long"))
 
 
-def _sketch() -> list[Column]:
-    """The minima in a byte each, seven a long."""
-    out = []
-    for name, at in zip(_SKETCH, range(0, MINIMA, 7)):
-        bytes_ = [F.xxhash64(m).bitwiseAND(F.lit(255)) for m in _MINIMA[at : at + 7]]
-        word = bytes_[0]
-        for b in bytes_[1:]:
-            word = F.shiftleft(word, 8).bitwiseOR(b)
-        out.append(word.alias(name))
+def _word() -> Column:
+    """A group's minima in a byte each."""
+    out = F.lit(0).cast("long")
+    for m in _MINIMA:
+        out = F.shiftleft(out, 8).bitwiseOR(F.xxhash64(m).bitwiseAND(F.lit(255)))
     return out
 
 
@@ -131,36 +140,32 @@ def _agree(a: str, b: str) -> Column:
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``(h1, h2, code, m0, ...)`` of every class of lines, and
+    """``(h1, h2, g, m0, ...)`` of every class of lines and group of minima, and
     ``(doc_id, no, h1, h2)`` of every line."""
     spark = df.sparkSession
     lines = _hashed(df, id_col, text_col)
     units = lines.select(*_NODE, F.encode("line", "UTF-16BE").alias("u"))
-    found, path = materialize(_minima(units.select("*", (_last(F.col("u")) + 1).alias("n")), lambda i: _shingle_hash(F.col("u"), i)), "minima")
+    found, _ = materialize(_minima(units.select("*", (_last(F.col("u")) + 1).alias("n")), lambda i: _shingle_hash(F.col("u"), i)), "minima")
     release(spark)
     # Too many empty buckets: shingles repeat within the line, or there are fewer than it draws for.
-    again = found.filter(_empty(_MINIMA) > MINIMA - FILLED).select(*_NODE, F.lit(True).alias("again"))
-    places, places_path = materialize(lines.join(_small(again), _NODE, "left").select("doc_id", "no", *_NODE, F.when(F.col("again"), F.col("line")).alias("line")), "lines")
+    empty = found.select(*_NODE, _empty(_MINIMA).alias("empty")).filter("empty > 0").groupBy(*_NODE).agg(F.sum("empty").alias("empty"))
+    again, _ = materialize(empty.filter(F.col("empty") > MINIMA - FILLED).select(*_NODE, F.lit(True).alias("again")), "again")
+    again = _small(again)
+    places, _ = materialize(lines.join(again, _NODE, "left").select("doc_id", "no", *_NODE, F.when(F.col("again"), F.col("line")).alias("line")), "lines")
     texts = places.filter("line is not null").select(*_NODE, "line").distinct()
-    hashes = F.transform(F.array(F.encode("line", "UTF-16BE")), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle_hash(u, i))))[0]
-    sets = texts.select(*_NODE, hashes.alias("set")).withColumn("n", F.size("set"))
-    redone = _minima(sets, lambda i: F.get("set", i)).select(*_NODE, *(F.col(m).alias(f"set_{m}") for m in _MINIMA))
-    joined = found.join(_small(redone), _NODE, "left").select(*_NODE, "weight", *(F.coalesce(f"set_{m}", m).alias(m) for m in _MINIMA))
-    # A class's short name: about how often it occurs, then bits of its hash. Two
-    # classes of one name are candidates together; the exact test tells them apart.
-    code = F.least(F.expr(f"weight div {DRAWS}"), F.lit(32767)) * F.lit(1 << 48) + F.col("h1").bitwiseAND(F.lit((1 << 48) - 1))
-    classes, _ = materialize(joined.select(*_NODE, code.alias("code"), *_MINIMA), "classes")
-    delete_path(spark, path)
-    release(spark)
+    sets = texts.select(*_NODE, _set(F.col("line")).alias("set")).withColumn("n", F.size("set"))
+    redone, _ = materialize(_minima(sets, lambda i: F.get("set", i)), "minima")
+    classes = found.join(again, _NODE, "left_anti").union(redone)
     return classes, places.select("doc_id", "no", *_NODE)
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """``(key, code, pivot)`` of the classes in each bucket of two or more."""
+    """``(key, code, pivot, n)`` of the classes in each bucket of ``n``, two or more."""
     out = None
-    for k in range(PASSES):
-        keyed = classes.select("code", F.explode(F.array(*(_band(b) for b in range(k, len(BANDS), PASSES)))).alias("key")).filter("key != 0")
-        shared = keyed.groupBy("key").agg(F.max("code").alias("pivot"), F.min("code").alias("other")).filter("pivot != other").select("key", "pivot")
+    for first in range(0, GROUPS, AT_ONCE):
+        groups = classes.filter(F.col("g").between(first, first + AT_ONCE - 1))
+        keyed = groups.select(F.col("h1").alias("code"), F.explode(F.array(*(_band(k) for k in range(SIZE)))).alias("key")).filter("key != 0")
+        shared = keyed.groupBy("key").agg(F.max("code").alias("pivot"), F.min("code").alias("other"), F.count("*").alias("n")).filter("pivot != other").select("key", "pivot", "n")
         shared, path = materialize(shared, "shared")
         release(classes.sparkSession)
         part, _ = materialize(keyed.join(_small(shared), "key"), "members")
@@ -176,9 +181,10 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
     a join key of its own, so a large bucket is shared out over the tasks, and
     pairs that the sketches rule out never leave the join.
     """
-    labelled, _ = materialize(members.select("key", "code").join(labels, "code"), "labelled")
+    # The one pair of a bucket of two is its pivot's.
+    labelled, _ = materialize(members.filter("n > 2").select("key", "code").join(_small(labels), "code"), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    rows = labelled.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(sketches, "code")
+    rows = labelled.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(_small(sketches), "code")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("code"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))
     a = rows.select("key", F.col("block").alias("i"), other.alias("j"), F.col("code").alias("p"), F.col("label").alias("p_label"), *(F.col(s).alias(f"p_{s}") for s in _SKETCH))
@@ -192,7 +198,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs of codes whose sketches agree often enough."""
     p = sketches.select(F.col("code").alias("p"), *(F.col(s).alias(f"p_{s}") for s in _SKETCH))
     q = sketches.select(F.col("code").alias("q"), *(F.col(s).alias(f"q_{s}") for s in _SKETCH))
-    return pairs.join(p, "p").join(q, "q").filter(_agree("p_", "q_") >= AGREE).select("p", "q").distinct()
+    return pairs.join(_small(p), "p").join(_small(q), "q").filter(_agree("p_", "q_") >= AGREE).select("p", "q").distinct()
 
 
 def _bit_sets(lines: DataFrame) -> DataFrame:
@@ -226,11 +232,10 @@ def _confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Of pairs of codes, the pairs of nodes that reach the threshold."""
     a = lines.select(F.struct(*_NODE).alias("a"), F.col("code").alias("p"), F.col("line").alias("x"))
     b = lines.select(F.struct(*_NODE).alias("b"), F.col("code").alias("q"), F.col("line").alias("y"))
-    sets = lambda c: F.transform(F.array(F.encode(c, "UTF-16BE")), lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle_hash(u, i))))[0]
-    both = pairs.join(a, "p").join(b, "q").select("a", "b", F.array(F.struct(sets("x").alias("s"), sets("y").alias("t"))).alias("v"))
-    counted = F.transform("v", lambda v: F.struct(F.size(F.array_intersect(v["s"], v["t"])).alias("both"), (F.size(v["s"]) + F.size(v["t"])).alias("sum")))[0]
-    both = both.select("a", "b", counted.alias("c"))
-    return both.filter(100 * F.col("c.both") >= percent * (F.col("c.sum") - F.col("c.both"))).select("a", "b")
+    # Sets, then counts, then the test: each step is kept from being repeated in the next.
+    sets = pairs.join(a, "p").join(b, "q").select("a", "b", _set(F.col("x")).alias("s"), _set(F.col("y")).alias("t"), _once()).filter("once >= 0")
+    both = sets.select("a", "b", (F.size("s") + F.size("t")).alias("sum"), F.size(F.array_intersect("s", "t")).alias("both"), _once())
+    return both.filter((100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))) & (F.col("once") >= 0)).select("a", "b")
 
 
 def line_components(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,9 +253,12 @@ def _shared_lines(df: DataFrame, percent: int, id_col: str, text_col: str) -> tu
     spark = df.sparkSession
     classes, places = _classes(df, id_col, text_col)
     members = _members(classes)
-    known = classes.join(_small(members.select("code").distinct()), "code", "left_semi").select(*_NODE, "code", *_sketch())
+    codes, _ = materialize(members.select("code").distinct(), "codes")
+    known = classes.select(F.col("h1").alias("code"), "h2", "g", _word().alias("word")).join(_small(codes), "code", "left_semi")
+    words = (F.max(F.when(F.col("g") == k, F.col("word"))).alias(x) for k, x in enumerate(_SKETCH))
+    known = known.groupBy("code", "h2").agg(*words).select(F.col("code").alias("h1"), "h2", "code", *_SKETCH)
     known, _ = materialize(known, "sketches")
-    sketches = known.select("code", *_SKETCH).dropDuplicates(["code"])
+    sketches, _ = materialize(known.select("code", *_SKETCH).dropDuplicates(["code"]), "sketches")
     stars = members.filter("code != pivot").select(F.col("pivot").alias("p"), F.col("code").alias("q")).distinct()
     stars, _ = materialize(_likely(stars, sketches), "stars")
     found = _hashed(df, id_col, text_col).select(*_NODE, "line").join(_small(known.select(*_NODE, "code")), _NODE)
@@ -261,7 +269,7 @@ def _shared_lines(df: DataFrame, percent: int, id_col: str, text_col: str) -> tu
     # A bucket of several components: compare across them, not within them.
     nodes = known.select("code", F.struct(*_NODE).alias("node"))
     joined = connected_components(links).select(F.col("id").alias("node"), F.col("component").alias("label"))
-    labels = nodes.join(joined, "node", "left").select("code", F.coalesce("label", "node").alias("label"))
+    labels, _ = materialize(nodes.join(joined, "node", "left").select("code", F.coalesce("label", "node").alias("label")), "labels")
     rest, _ = materialize(_across(members, labels, sketches).join(stars, ["p", "q"], "left_anti"), "pairs")
     rest, _ = materialize(_possible(rest, bits, percent), "pairs")
     more, _ = materialize(_confirm(rest, lines, percent), "links")

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from rangeloom.llm import lines
 from rangeloom.llm.lines import SHINGLE, dedup_lines, line_components
 from rangeloom.llm.queries import QUERIES
 
@@ -126,6 +127,25 @@ def test_independent_minima_on_short_lines(spark):
     assert sum(got[2 * i + 1, 0] != (2 * i, 0) for i in range(4000)) <= 20  # 7 expected
 
 
+def test_a_bucket_of_two_is_compared_once(spark, monkeypatch):
+    rng = random.Random(14)
+    docs = {}
+    for i in range(50):
+        docs[2 * i] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150))
+        docs[2 * i + 1] = docs[2 * i] + "0"
+    rows, keep = {}, lines.materialize
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        rows[tag] = rows.get(tag, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    assert result(line_components(frame(spark, docs))) == brute(docs)
+    assert rows["links"] == 50 and rows["labelled"] == 0  # each pair is its bucket: nothing is left to compare
+    assert rows["minima"] == 100 * lines.GROUPS  # a row for each line and group, and none made twice
+
+
 def test_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     first = brute(docs)
