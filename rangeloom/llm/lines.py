@@ -41,6 +41,7 @@ AT_ONCE = 2  # so many groups' bands are exchanged at a time, so that one part's
 FILLED, AGREE = 19, 13
 BLOCK = 512
 BROADCAST_ROWS = 500_000
+SIFT_WORDS = 1 << 19  # of 64 bits
 HOT = 10_000  # classes of more than one in so many lines are few enough to broadcast
 _PRIORITY = 24  # bits
 _FULL = r"[^\t\r\x20]"
@@ -67,6 +68,24 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _sift(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a hash, isn't in ``some``.
+
+    A bit for each key of ``some``, in a table of bounded size, is broadcast."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright(key, 6).bitwiseAND(F.lit(SIFT_WORDS - 1))
+    words = some.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
+def _among(rows: DataFrame, some: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table that few of them match. If that is too long to be
+    broadcast, the rows are sifted (by the first key) before they are exchanged."""
+    if some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(some), on, how)
+    return _sift(rows, some, on[0]).join(some, on, how)
+
+
 def _once() -> Column:
     """A column that is never negative. A filter that reads it isn't moved before its
     projection, whose expressions would else be evaluated again for each use there."""
@@ -168,7 +187,7 @@ def _members(classes: DataFrame) -> DataFrame:
         shared = keyed.groupBy("key").agg(F.max("code").alias("pivot"), F.min("code").alias("other"), F.count("*").alias("n")).filter("pivot != other").select("key", "pivot", "n")
         shared, path = materialize(shared, "shared")
         release(classes.sparkSession)
-        part, _ = materialize(keyed.join(_small(shared), "key"), "members")
+        part, _ = materialize(_among(keyed, shared, ["key"]), "members")
         delete_path(classes.sparkSession, path)
         out = part if out is None else out.union(part)
     return out
@@ -254,14 +273,14 @@ def _shared_lines(df: DataFrame, percent: int, id_col: str, text_col: str) -> tu
     classes, places = _classes(df, id_col, text_col)
     members = _members(classes)
     codes, _ = materialize(members.select("code").distinct(), "codes")
-    known = classes.select(F.col("h1").alias("code"), "h2", "g", _word().alias("word")).join(_small(codes), "code", "left_semi")
-    words = (F.max(F.when(F.col("g") == k, F.col("word"))).alias(x) for k, x in enumerate(_SKETCH))
+    known = _among(classes.select(F.col("h1").alias("code"), "h2", "g", *_MINIMA), codes, ["code"], "left_semi").select("code", "h2", "g", _word().alias("five"))
+    words = (F.max(F.when(F.col("g") == k, F.col("five"))).alias(x) for k, x in enumerate(_SKETCH))
     known = known.groupBy("code", "h2").agg(*words).select(F.col("code").alias("h1"), "h2", "code", *_SKETCH)
     known, _ = materialize(known, "sketches")
     sketches, _ = materialize(known.select("code", *_SKETCH).dropDuplicates(["code"]), "sketches")
     stars = members.filter("code != pivot").select(F.col("pivot").alias("p"), F.col("code").alias("q")).distinct()
     stars, _ = materialize(_likely(stars, sketches), "stars")
-    found = _hashed(df, id_col, text_col).select(*_NODE, "line").join(_small(known.select(*_NODE, "code")), _NODE)
+    found = _among(_hashed(df, id_col, text_col).select(*_NODE, "line"), known.select(*_NODE, "code"), _NODE)
     lines, _ = materialize(found.distinct(), "candidates")
     bits, _ = materialize(_bit_sets(lines), "bits")
     links, _ = materialize(_confirm(_possible(stars, bits, percent), lines, percent), "links")

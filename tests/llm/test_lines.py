@@ -146,6 +146,24 @@ def test_a_bucket_of_two_is_compared_once(spark, monkeypatch):
     assert rows["minima"] == 100 * lines.GROUPS  # a row for each line and group, and none made twice
 
 
+def test_rows_are_sifted_before_an_exchange(spark, monkeypatch):
+    rng = random.Random(15)
+    docs = {i: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60)) for i in range(600)}
+    docs |= {600 + i: docs[i] + "0" for i in range(20)}
+    kept, sift = [], lines._sift
+
+    def counted(rows, some, key):
+        out = sift(rows, some, key)
+        kept.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(lines, "_sift", counted)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)  # as if every table were too long
+    assert result(line_components(frame(spark, docs))) == brute(docs)
+    # Bands of each part, minima and texts: 40 of 620 lines have something in common.
+    assert len(kept) == 5 and all(0 < few < 0.1 * all_ for all_, few in kept)
+
+
 def test_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     first = brute(docs)
