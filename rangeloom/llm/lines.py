@@ -13,9 +13,9 @@ shingle is left out for where it stands. Lines of far fewer distinct shingles th
 positions (``-----``) are found by their empty buckets and drawn for once more from
 their distinct shingles.
 
-*Candidates.* The minima form groups of five, a row each; a band is four of a group,
-so all 25 bands together use 25 minima. A pair of similarity 0.8 shares no band in
-about 0.2 % of cases, one of 0.85 in 0.02 %. Every member of a bucket is proposed
+*Candidates.* The minima form groups of six, a row each; a band is three of a group,
+and no minimum is in two bands. A pair of similarity 0.8 shares none of the ten bands
+in about 0.1 % of cases, one of 0.85 in 0.01 %. Every member of a bucket is proposed
 with one of them, its pivot, then in buckets of three or more the members of
 different components with one another, in blocks. Sketches (a byte a minimum) drop
 proposals that agree in fewer than ``AGREE`` of the minima, which costs a pair at 0.8
@@ -23,7 +23,8 @@ its link in 0.03 % of cases.
 
 *Verification.* Bit sets of the shingles' hashes rule out pairs for certain. Exact
 Jaccard similarity of the whole shingle sets confirms the rest, and distributed
-union-find keeps one line a component.
+union-find keeps one line a component. Of the pairs that could link the same two
+components the likeliest is tested first; the others only if the two are still apart.
 """
 
 from __future__ import annotations
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import delete_path, materialize, release, text_or_empty
 from rangeloom.llm.graph import connected_components
 
-SHINGLE, GROUPS, SIZE = 8, 5, 5
+SHINGLE, GROUPS, SIZE, BAND = 8, 5, 6, 3
 MINIMA = GROUPS * SIZE
 DRAWS = 3 * MINIMA
 AT_ONCE = 2  # so many groups' bands are exchanged at a time, so that one part's files are on disk
-FILLED, AGREE = 19, 13
+FILLED, AGREE = 23, 16
 BLOCK = 512
 BROADCAST_ROWS = 500_000
 SIFT_WORDS = 1 << 19  # of 64 bits
@@ -47,7 +48,7 @@ _PRIORITY = 24  # bits
 _FULL = r"[^\t\r\x20]"
 _NODE = ["h1", "h2"]
 _MINIMA = [f"m{k}" for k in range(SIZE)]  # of a group
-_BITS = [f"b{k}" for k in range(32)]
+PARTS, WORDS = 4, 8  # of a bit set, and of each part
 _SKETCH = [f"s{k}" for k in range(GROUPS)]
 
 
@@ -108,7 +109,7 @@ def _shingle_hash(units: Column, start: Column) -> Column:
 
 
 def _minima(df: DataFrame, hash_at) -> DataFrame:
-    """``(h1, h2, g, m0, ..., m4)``, a row for each class and group of minima, of rows
+    """``(h1, h2, g, m0, ..., m5)``, a row for each class and group of minima, of rows
     ``(h1, h2, n, ...)`` with ``n`` hashes each, the one at a place given by
     ``hash_at``. A missing minimum is -1."""
     n, whole = F.col("n"), F.lit(1 << _PRIORITY)
@@ -133,10 +134,10 @@ def _empty(minima: list[str]) -> Column:
     return sum(((F.col(m) < 0).cast("int") for m in minima[1:]), (F.col(minima[0]) < 0).cast("int"))
 
 
-def _band(left_out: int) -> Column:
-    """The key of a group's band without one of its minima; 0 if two or more of the others are missing."""
-    parts = [m for k, m in enumerate(_MINIMA) if k != left_out]
-    return F.when(_empty(parts) < 2, F.xxhash64("g", F.lit(left_out), *parts)).otherwise(F.lit(0).cast("long"))
+def _bands() -> list[Column]:
+    """The keys of a group's bands; 0 if two or more of a band's minima are missing."""
+    parts = [_MINIMA[k : k + BAND] for k in range(0, SIZE, BAND)]
+    return [F.when(_empty(p) < 2, F.xxhash64("g", F.lit(k), *p)).otherwise(F.lit(0).cast("long")) for k, p in enumerate(parts)]
 
 
 def _word() -> Column:
@@ -183,7 +184,7 @@ def _members(classes: DataFrame) -> DataFrame:
     out = None
     for first in range(0, GROUPS, AT_ONCE):
         groups = classes.filter(F.col("g").between(first, first + AT_ONCE - 1))
-        keyed = groups.select(F.col("h1").alias("code"), F.explode(F.array(*(_band(k) for k in range(SIZE)))).alias("key")).filter("key != 0")
+        keyed = groups.select(F.col("h1").alias("code"), F.explode(F.array(*_bands())).alias("key")).filter("key != 0")
         shared = keyed.groupBy("key").agg(F.max("code").alias("pivot"), F.min("code").alias("other"), F.count("*").alias("n")).filter("pivot != other").select("key", "pivot", "n")
         shared, path = materialize(shared, "shared")
         release(classes.sparkSession)
@@ -194,7 +195,8 @@ def _members(classes: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Likely pairs ``(p, q)`` of members of one bucket that have different labels.
+    """Likely pairs ``(p, q, lo, hi)`` of members of one bucket that have different
+    labels, the lesser ``lo`` and the greater ``hi``.
 
     A bucket is cut into blocks by a hash of its members; each pair of blocks is
     a join key of its own, so a large bucket is shared out over the tasks, and
@@ -210,7 +212,7 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
     other = F.explode(F.sequence(F.lit(0), F.col("block")))
     b = rows.select("key", other.alias("i"), F.col("block").alias("j"), F.col("code").alias("q"), F.col("label").alias("q_label"), *(F.col(s).alias(f"q_{s}") for s in _SKETCH))
     pair = ((F.col("i") < F.col("j")) | (F.col("p") > F.col("q"))) & (F.col("p") != F.col("q")) & (F.col("p_label") != F.col("q_label")) & (_agree("p_", "q_") >= AGREE)
-    return a.join(b, ["key", "i", "j"]).filter(pair).select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q")).distinct()
+    return a.join(b, ["key", "i", "j"]).filter(pair).select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q"), F.least("p_label", "q_label").alias("lo"), F.greatest("p_label", "q_label").alias("hi")).distinct()
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -220,41 +222,75 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(_small(p), "p").join(_small(q), "q").filter(_agree("p_", "q_") >= AGREE).select("p", "q").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The codes of pairs."""
+    return pairs.select(F.col("p").alias("code")).union(pairs.select("q")).distinct()
+
+
 def _bit_sets(lines: DataFrame) -> DataFrame:
-    """``(code, b0, ..., n)`` of candidate lines: bits of their shingles' hashes, and
-    how many shingles they have (repeated ones counted)."""
+    """``(code, n, bits, ones)`` of candidate lines: how many shingles they have (repeated
+    ones counted), bits of the shingles' hashes in words, and how many bits are set."""
     units = lines.select("code", F.encode("line", "UTF-16BE").alias("u"))
     at = units.select("code", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("i"))
     hashes = at.select("code", _shingle_hash(F.col("u"), F.col("i")).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftright("h", 6).bitwiseAND(F.lit(len(_BITS) - 1))
-    each = (F.bit_or(F.when(word == k, bit)).alias(b) for k, b in enumerate(_BITS))
-    return hashes.groupBy("code").agg(F.count("*").alias("n"), *each).select("code", "n", *(F.coalesce(b, F.lit(0).cast("long")).alias(b) for b in _BITS))
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    part = F.shiftright("h", 32).bitwiseAND(F.lit(PARTS - 1))
+    each = [f"b{k}" for k in range(WORDS)]
+    parts = hashes.groupBy("code", part.alias("part")).agg(F.count("*").alias("n"), *(F.bit_or(F.when(word == k, bit)).alias(b) for k, b in enumerate(each)))
+    made = parts.groupBy("code").agg(F.sum("n").alias("n"), *(F.max(F.when(F.col("part") == k, F.col(b))).alias(f"{b}_{k}") for k in range(PARTS) for b in each))
+    made = made.select("code", "n", F.array(*(F.coalesce(f"{b}_{k}", F.lit(0).cast("long")) for k in range(PARTS) for b in each)).alias("bits"))
+    return made.select("*", _total(F.transform("bits", F.bit_count)).alias("ones"))
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda a, b: a + b)
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs of codes that their bit sets don't rule out.
+    """The pairs of codes that their bit sets don't rule out, with ``most``, a bound of
+    their similarity.
 
     With a and b shingles that only the one or only the other has, the similarity
     is (|A| - a) / (|A| + b); a bit that only one line has is a shingle that only it
     has, and the number of positions is an upper bound of |A|. So no pair that
     reaches the threshold is lost.
     """
-    x = bits.select(F.col("code").alias("p"), "n", *(F.col(b).alias(f"x{b}") for b in _BITS))
-    y = bits.select(F.col("code").alias("q"), *(F.col(b).alias(f"y{b}") for b in _BITS))
-    only = lambda c, d: sum((F.bit_count(F.col(c + b).bitwiseAND(F.bitwise_not(F.col(d + b)))) for b in _BITS[1:]), F.bit_count(F.col(c + "b0").bitwiseAND(F.bitwise_not(F.col(d + "b0")))))
-    both = pairs.join(x, "p").join(y, "q").select("p", "q", "n", only("x", "y").alias("a"), only("y", "x").alias("b"))
-    return both.filter(100 * (F.col("n") - F.col("a")) >= percent * (F.col("n") + F.col("b"))).select("p", "q")
+    x = bits.select(F.col("code").alias("p"), "n", F.col("bits").alias("x"), F.col("ones").alias("x_ones"))
+    y = bits.select(F.col("code").alias("q"), F.col("bits").alias("y"), F.col("ones").alias("y_ones"))
+    shared = _total(F.zip_with("x", "y", lambda v, w: F.bit_count(v.bitwiseAND(w))))
+    both = pairs.join(x, "p").join(y, "q").select(*pairs.columns, "n", "x_ones", "y_ones", shared.alias("shared"), _once()).filter("once >= 0")
+    both = both.select(*pairs.columns, (F.col("n") - F.col("x_ones") + F.col("shared")).alias("left"), (F.col("n") + F.col("y_ones") - F.col("shared")).alias("of"))
+    return both.filter(100 * F.col("left") >= percent * F.col("of")).select(*pairs.columns, (F.col("left") / F.col("of")).alias("most"))
 
 
 def _confirm(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Of pairs of codes, the pairs of nodes that reach the threshold."""
+    """Of pairs of codes, the pairs ``(a, b)`` of nodes that reach the threshold, with
+    the pairs' other columns."""
+    more = [c for c in pairs.columns if c not in ("p", "q")]
     a = lines.select(F.struct(*_NODE).alias("a"), F.col("code").alias("p"), F.col("line").alias("x"))
     b = lines.select(F.struct(*_NODE).alias("b"), F.col("code").alias("q"), F.col("line").alias("y"))
     # Sets, then counts, then the test: each step is kept from being repeated in the next.
-    sets = pairs.join(a, "p").join(b, "q").select("a", "b", _set(F.col("x")).alias("s"), _set(F.col("y")).alias("t"), _once()).filter("once >= 0")
-    both = sets.select("a", "b", (F.size("s") + F.size("t")).alias("sum"), F.size(F.array_intersect("s", "t")).alias("both"), _once())
-    return both.filter((100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))) & (F.col("once") >= 0)).select("a", "b")
+    sets = pairs.join(a, "p").join(b, "q").select("a", "b", *more, _set(F.col("x")).alias("s"), _set(F.col("y")).alias("t"), _once()).filter("once >= 0")
+    both = sets.select("a", "b", *more, (F.size("s") + F.size("t")).alias("sum"), F.size(F.array_intersect("s", "t")).alias("both"), _once())
+    return both.filter((100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))) & (F.col("once") >= 0)).select("a", "b", *more)
+
+
+def _confirm_across(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join all components ``lo`` and ``hi`` that ``pairs``
+    ``(p, q, lo, hi, most)`` can join: the likeliest pair of each two is tested, then
+    all pairs of those that it leaves apart."""
+    best = pairs.groupBy("lo", "hi").agg(F.max(F.struct("most", "p", "q")).alias("best")).select("lo", "hi", "best.p", "best.q")
+    best, _ = materialize(best, "best")
+    links, _ = materialize(_confirm(best, lines, percent), "links")
+    ends = links.select(F.col("lo").alias("label"), F.col("hi").alias("other")).union(links.select("hi", "lo"))
+    joined, _ = materialize(ends.groupBy("label").agg(F.min("other").alias("other")).select("label", F.least("label", "other").alias("now")), "joined")
+    rest = pairs.select("p", "q", "lo", "hi").join(_small(best.select("p", "q")), ["p", "q"], "left_anti").join(_small(links.select("lo", "hi").distinct()), ["lo", "hi"], "left_anti")
+    for end in ("lo", "hi"):
+        rest = rest.join(_small(joined.select(F.col("label").alias(end), F.col("now").alias(f"{end}_now"))), end, "left")
+    rest = rest.filter(F.coalesce("lo_now", "lo") != F.coalesce("hi_now", "hi")).select("p", "q")
+    more, _ = materialize(_confirm(rest, lines, percent), "links")
+    return links.select("a", "b").union(more)
 
 
 def line_components(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,16 +318,20 @@ def _shared_lines(df: DataFrame, percent: int, id_col: str, text_col: str) -> tu
     stars, _ = materialize(_likely(stars, sketches), "stars")
     found = _among(_hashed(df, id_col, text_col).select(*_NODE, "line"), known.select(*_NODE, "code"), _NODE)
     lines, _ = materialize(found.distinct(), "candidates")
-    bits, _ = materialize(_bit_sets(lines), "bits")
-    links, _ = materialize(_confirm(_possible(stars, bits, percent), lines, percent), "links")
+    ends, _ = materialize(_ends(stars), "ends")
+    bits, _ = materialize(_bit_sets(lines.join(_small(ends), "code", "left_semi")), "bits")
+    links, _ = materialize(_confirm(_possible(stars, bits, percent).select("p", "q"), lines, percent), "links")
 
     # A bucket of several components: compare across them, not within them.
     nodes = known.select("code", F.struct(*_NODE).alias("node"))
     joined = connected_components(links).select(F.col("id").alias("node"), F.col("component").alias("label"))
     labels, _ = materialize(nodes.join(joined, "node", "left").select("code", F.coalesce("label", "node").alias("label")), "labels")
     rest, _ = materialize(_across(members, labels, sketches).join(stars, ["p", "q"], "left_anti"), "pairs")
+    others, _ = materialize(_ends(rest).join(_small(ends), "code", "left_anti"), "ends")
+    added, _ = materialize(_bit_sets(lines.join(_small(others), "code", "left_semi")), "bits")
+    bits = bits.union(added)
     rest, _ = materialize(_possible(rest, bits, percent), "pairs")
-    more, _ = materialize(_confirm(rest, lines, percent), "links")
+    more = _confirm_across(rest, lines, percent)
     release(spark)
     return places, _first_lines(places, connected_components(links.union(more)))
 

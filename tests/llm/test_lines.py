@@ -164,6 +164,37 @@ def test_rows_are_sifted_before_an_exchange(spark, monkeypatch):
     assert len(kept) == 5 and all(0 < few < 0.1 * all_ for all_, few in kept)
 
 
+def test_few_keys_and_few_exact_tests(spark, monkeypatch):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    docs = {}
+    for _ in range(20):  # families of lines, many of which are about as similar as the threshold
+        base = [word() for _ in range(40)]
+        for _ in range(30):
+            line = list(base)
+            for _ in range(rng.randint(1, 3)):
+                line[rng.randrange(40)] = word()
+            docs[len(docs)] = " ".join(line)
+    rows, keys, keep, among = {}, [], lines.materialize, lines._among
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        rows[tag] = rows.get(tag, 0) + out[0].count()
+        return out
+
+    def counted_keys(some_rows, some, on, how="inner"):
+        if on == ["key"]:
+            keys.append(some_rows.count())
+        return among(some_rows, some, on, how)
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    monkeypatch.setattr(lines, "_among", counted_keys)
+    assert result(line_components(frame(spark, docs))) == brute(docs)
+    assert sum(keys) <= 10 * len(docs)  # 25 bands a line before
+    assert rows["bits"] <= len(docs)  # of each line once at most
+    assert rows["links"] < 2 * len(docs)  # not each pair of two components
+
+
 def test_query_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     first = brute(docs)
