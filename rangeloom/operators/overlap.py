@@ -13,6 +13,7 @@ from rangeloom.sources.index import SubjectIndex
 
 SELECT = ("all", "first", "last", "arbitrary")
 DENSE = 8  # expected matches a range from which counting without pairs pays
+BROADCAST_ROWS = 100_000  # sets of more rows are never broadcast to join with one another
 
 
 def subject_ranges(subject: RangeSet | SubjectIndex) -> RangeSet:
@@ -95,7 +96,7 @@ def _rank_counts(query: RangeSet, subject: RangeSet, m: Match) -> DataFrame:
     return run.groupBy(F.col("id").alias("query_id")).agg(F.sum(signed).alias("n"))
 
 
-def _dense(query: RangeSet, subject: RangeSet) -> bool:
+def dense(query: RangeSet, subject: RangeSet) -> bool:
     """Whether ranges spread evenly would make many matches a range."""
     q, s = query.stats, subject.stats
     span = max(1, max(q.high, s.high) - min(q.low, s.low))
@@ -107,7 +108,7 @@ def count_overlaps(query: RangeSet, subject: RangeSet | SubjectIndex, *, threads
     """``(query_id, overlap_count)`` of every query, 0 where nothing matches."""
     subject = prepare(query, subject)
     m = Match(**match)
-    if m.type == "any" and not query.stats.has_empty and not subject.stats.has_empty and _dense(query, subject):
+    if m.type == "any" and not query.stats.has_empty and not subject.stats.has_empty and dense(query, subject):
         counts = _rank_counts(query, subject, m)
     else:
         counts = hits(query, subject, m).groupBy("query_id").agg(F.count("*").alias("n"))

@@ -386,3 +386,14 @@ def test_tiles_far_along_the_axis(spark):
     x = rl.RangeSet.of_plain(rows)
     got = rl.tile_coverage(x, tile_width=1_000_000_000, weight="w").collect()
     assert abs(sum(r.coverage_sum for r in got) - 50.0) < 1e-9
+
+
+def test_nearest_makes_no_pairs_of_crowded_sets(spark, monkeypatch):
+    """Every query touches most subjects: the least id is found without their pairs."""
+    rng = random.Random(7)
+    q = [(i, 10 * i - 30, 10 * i - 30 + rng.randint(0, 40)) for i in range(1, 31)]
+    s = [(i, a, a + rng.randint(0, 20)) for i, a in ((i, rng.randint(1, 60)) for i in rng.sample(range(1, 5000), 1500))]
+    monkeypatch.setattr("rangeloom.operators.nearest.hits", None)
+    a, b = (rl.RangeSet.of_plain(spark.createDataFrame(x, "range_id long, start long, end long")) for x in (q, s))
+    want = {i: min((max(0, max(x[1] - e, st - x[2]) - 1), x[0]) for x in s) for i, st, e in q}
+    assert {r.query_id: (r.distance, r.subject_id) for r in rl.nearest(a, b).collect()} == want
