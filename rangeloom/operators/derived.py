@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rangeloom.functions.predicate import Match
 from rangeloom.model import RangeSet, checked, number
 from rangeloom.operators.overlap import count_overlaps, prepare, self_overlaps, subject_ranges
+from rangeloom.plans.binning import BROADCAST_ROWS
 from rangeloom.plans.components import components, ensure_checkpoint_dir
 from rangeloom.plans.ordered import Running, chunk_width, scan
 
@@ -80,5 +81,6 @@ def window_count_overlaps(query: RangeSet, subject, *, window_width: int, step_w
     made = query.derive(windows)
     made.seqinfo = None
     counts = count_overlaps(made, subject_ranges(subject), **match)
-    out = made.df.join(counts, made.df["range_id"] == counts["query_id"])
+    rows = made.df.hint("merge") if made.stats.n > BROADCAST_ROWS else made.df  # more than its source, which the planner goes by
+    out = rows.join(counts, rows["range_id"] == counts["query_id"])
     return out.select(F.col("range_id").alias("window_id"), *(["seqname"] if query.genomic else []), "start", "end", "overlap_count")

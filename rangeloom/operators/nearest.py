@@ -9,6 +9,7 @@ from rangeloom.functions.predicate import Match
 from rangeloom.model import RangeSet, checked, flag
 from rangeloom.operators import overlap
 from rangeloom.operators.overlap import hits, prepare
+from rangeloom.plans.binning import BROADCAST_ROWS
 from rangeloom.plans.ordered import Running, chunk_width, scan
 
 
@@ -88,7 +89,7 @@ def least_touching(query: RangeSet, subject: RangeSet, ignore_strand: bool) -> D
     asked = q.withColumnRenamed("range_id", "id")
     asked = table(asked, 0, _blocks(F.col("low"), F.col("high"), q_levels)).union(table(asked, 1, _points(F.col("low"), s_levels)))
     # Exploded rows look few to the planner: a large side must not be broadcast.
-    asked = asked.hint("merge") if min(query.stats.n, subject.stats.n) > overlap.BROADCAST_ROWS else asked
+    asked = asked.hint("merge") if min(query.stats.n, subject.stats.n) > BROADCAST_ROWS else asked
     return asked.join(least, place).groupBy(F.col("id").alias("query_id")).agg(F.min("touching").alias("touching"))
 
 

@@ -13,7 +13,6 @@ from rangeloom.sources.index import SubjectIndex
 
 SELECT = ("all", "first", "last", "arbitrary")
 DENSE = 8  # expected matches a range from which counting without pairs pays
-BROADCAST_ROWS = 100_000  # sets of more rows are never broadcast to join with one another
 
 
 def subject_ranges(subject: RangeSet | SubjectIndex) -> RangeSet:

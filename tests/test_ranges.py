@@ -391,9 +391,22 @@ def test_tiles_far_along_the_axis(spark):
 def test_nearest_makes_no_pairs_of_crowded_sets(spark, monkeypatch):
     """Every query touches most subjects: the least id is found without their pairs."""
     rng = random.Random(7)
-    q = [(i, 10 * i - 30, 10 * i - 30 + rng.randint(0, 40)) for i in range(1, 31)]
+    q = [(i, i - 30, i - 30 + rng.randint(0, 40)) for i in range(1, 301)]
     s = [(i, a, a + rng.randint(0, 20)) for i, a in ((i, rng.randint(1, 60)) for i in rng.sample(range(1, 5000), 1500))]
     monkeypatch.setattr("rangeloom.operators.nearest.hits", None)
     a, b = (rl.RangeSet.of_plain(spark.createDataFrame(x, "range_id long, start long, end long")) for x in (q, s))
     want = {i: min((max(0, max(x[1] - e, st - x[2]) - 1), x[0]) for x in s) for i, st, e in q}
     assert {r.query_id: (r.distance, r.subject_id) for r in rl.nearest(a, b).collect()} == want
+
+
+def test_exploded_windows_are_not_broadcast(spark, monkeypatch):
+    """A few spans make very many windows; the planner sees the spans alone."""
+    rows = spark.range(40).select(F.col("id").alias("range_id"), F.concat(F.lit("u"), F.col("id") % 20).alias("seqname"), (F.col("id") * 2000).alias("start"), (F.col("id") * 2000 + 9).alias("end"), F.lit("*").alias("strand"))
+    x = rl.RangeSet.of_genomic(rows)
+    monkeypatch.setattr("rangeloom.plans.binning.BROADCAST_ROWS", 10)
+    monkeypatch.setattr("rangeloom.operators.derived.BROADCAST_ROWS", 10)
+    found = rl.window_count_overlaps(x, x, window_width=10, step_width=5)
+    assert found.filter("overlap_count > 0").agg(F.sum("overlap_count")).first()[0] == 20 * (2 + 3)
+    counted = found.groupBy().count()
+    counted.collect()
+    assert "BroadcastHashJoin" not in counted._jdf.queryExecution().executedPlan().toString()
