@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangeloom.model import RangeSet, checked, number, word
-from rangeloom.plans.ordered import Running, chunk_width, scan
+from rangeloom.plans.ordered import Running, chunk_width, scan, spread
 
 METHODS = ("auto", "sort", "hash")
 
@@ -34,25 +34,30 @@ def _clipped(x: RangeSet, shift: int, width: int | None, weight) -> tuple[DataFr
         value = F.lit(weight).cast("long") if isinstance(weight, int) else F.lit(float(weight))
     shift = number("shift", shift, -(1 << 62))
     rows = x.df.select("seqname", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), value.alias("value"))
-    lengths = _lengths(x, rows, None if width is None else number("width", width, 0))
-    rows = rows.join(lengths, "seqname").select("seqname", F.greatest("start", F.lit(1)).alias("start"), F.least("end", "length").alias("end"), "value").filter("start <= end")
+    width = None if width is None else number("width", width, 0)
+    lengths = _lengths(x, rows, width).filter("seqname is not null")
+    if width is None and x.seqinfo is not None:
+        rows = rows.join(lengths, "seqname")
+    else:  # one length for all, or the last end, which cuts nothing off
+        rows = rows.filter("seqname is not null").withColumn("length", F.col("end") if width is None else F.lit(width).cast("long"))
+    rows = rows.select("seqname", F.greatest("start", F.lit(1)).alias("start"), F.least("end", "length").alias("end"), "value").filter("start <= end")
     return rows, lengths
 
 
 def _runs(x: RangeSet, shift: int, width: int | None, weight) -> DataFrame:
     rows, lengths = _clipped(x, shift, width, weight)
     zero = F.lit(0).cast(rows.schema["value"].dataType)
-    events = (
-        rows.select("seqname", F.col("start").alias("pos"), "value")
-        .union(rows.select("seqname", F.col("end") + 1, -F.col("value")))
-        .union(lengths.select("seqname", F.lit(1).cast("long"), zero))
-        .union(lengths.select("seqname", F.col("length") + 1, zero))
-    )
     # A point stays if the depth changes there or the sequence begins or ends.
-    points = events.groupBy("seqname", "pos").agg(F.sum("value").alias("step")).join(lengths, "seqname").filter("step <> 0 or pos = 1 or pos = length + 1")
-    specs = [Running("value", F.col("step"), "sum"), Running("after", F.col("pos"), "next")]
-    out = scan(points, ["seqname"], [F.col("pos")], specs, "pos", chunk_width([x], 2)).filter("after is not null")
-    return out.select("seqname", F.col("pos").alias("start"), (F.col("after") - 1).alias("end"), "value")
+    rows = rows.withColumn("edge", F.lit(False)).union(lengths.select("seqname", F.lit(1).cast("long"), "length", zero, F.lit(True)))
+    wide = chunk_width([x], 2)
+    if not wide:
+        rows = spread(rows, ["seqname"], [x])
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.col("value").alias("step")), F.struct((F.col("end") + 1).alias("pos"), (-F.col("value")).alias("step")))
+    events = rows.select("seqname", "edge", F.explode(ends).alias("e"))
+    points = events.groupBy("seqname", "e.pos").agg(F.sum("e.step").alias("step"), F.max("edge").alias("edge")).filter("step <> 0 or edge")
+    specs = [Running("value", F.col("step"), "sum_before"), Running("at", F.col("pos"), "previous")]
+    out = scan(points, ["seqname"], [F.col("pos")], specs, "pos", wide).filter("at is not null")
+    return out.select("seqname", F.col("at").alias("start"), (F.col("pos") - 1).alias("end"), "value")
 
 
 @checked

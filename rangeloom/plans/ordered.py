@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.plans.components import ensure_checkpoint_dir
+from rangeloom.session import default_threads
 
 ROWS_PER_CHUNK = 500_000
+ROWS_PER_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,14 @@ def chunk_width(sets: list, rows_a_range: int = 1) -> int | None:
     return max(1, (high - low) // chunks + 1) if chunks > 1 else None
 
 
+def spread(df: DataFrame, keys: list[str], sets: list) -> DataFrame:
+    """``df`` exchanged by ``keys`` ahead of all that is done by them: into more tasks
+    than a shuffle makes where the sets are large, so that a task's rows don't grow
+    with the input. Aggregates and scans by these keys need no exchange after it."""
+    n = -(-sum(x.stats.n for x in sets) // ROWS_PER_TASK)
+    return df.repartition(n, *keys) if n > default_threads(df.sparkSession) else df.repartition(*keys)
+
+
 def scan(df: DataFrame, keys: list[str], order: list[Column], specs: list[Running], position: str, width: int | None) -> DataFrame:
     """``df`` with the running values, by ``keys`` in ``order``, whose first
     element must be the ascending ``position``."""

@@ -410,3 +410,19 @@ def test_exploded_windows_are_not_broadcast(spark, monkeypatch):
     counted = found.groupBy().count()
     counted.collect()
     assert "BroadcastHashJoin" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def _spread(spark, monkeypatch, make, tasks):
+    """Rows are exchanged once ahead of aggregates and scans, into tasks by their number."""
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 10)
+    plan = make()._jdf.queryExecution().executedPlan().toString()
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan and "SortMergeJoin" not in plan, plan
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 10**6)
+    few = got_pairs(make())
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 10)
+    assert got_pairs(make()) == few
+
+
+def test_coverage_is_spread_by_rows(spark, monkeypatch):
+    x = genomic(spark, draw(61, 200))
+    _spread(spark, monkeypatch, lambda: rl.coverage(x), 20)
