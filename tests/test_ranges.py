@@ -426,3 +426,12 @@ def _spread(spark, monkeypatch, make, tasks):
 def test_coverage_is_spread_by_rows(spark, monkeypatch):
     x = genomic(spark, draw(61, 200))
     _spread(spark, monkeypatch, lambda: rl.coverage(x), 20)
+
+
+def test_weighted_coverage_is_spread_by_rows(spark, monkeypatch):
+    rows = [(*r, float(r[0] % 7)) for r in draw(62, 200)]
+    x = genomic(spark, rows, ", w double")
+    _spread(spark, monkeypatch, lambda: rl.coverage(x, shift=-10, width=300, weight="w"), 20)
+    want = [sum(r[5] for r in rows if r[1] == "chr1" and r[2] - 10 <= p <= r[3] - 10) for p in range(1, 301)]
+    got = {p: r.value for r in rl.coverage(x, shift=-10, width=300, weight="w").filter("seqname = 'chr1'").collect() for p in range(r.start, r.end + 1)}
+    assert [got[p] for p in range(1, 301)] == want
