@@ -9,7 +9,7 @@ from rangeloom.functions.predicate import Match
 from rangeloom.model import RangeSet, flag, number, same_kind, strand_column
 from rangeloom.operators.derived import islands
 from rangeloom.plans import binning
-from rangeloom.plans.ordered import Running, chunk_width, scan
+from rangeloom.plans.ordered import Running, chunk_width, scan, spread
 
 KEYS = ["seqname", "strand"]
 
@@ -26,8 +26,8 @@ def _rows(x: RangeSet, ignore_strand: bool) -> DataFrame:
     return x.bare().withColumn("strand", strand_column(ignore_strand))
 
 
-def merge(rows: DataFrame, min_gap: int, width: int | None, revmap: bool = False) -> DataFrame:
-    found = islands(rows, KEYS, min_gap, width)
+def merge(x: RangeSet, rows: DataFrame, min_gap: int, width: int | None, revmap: bool = False) -> DataFrame:
+    found = islands(rows if width else spread(rows, KEYS, [x]), KEYS, min_gap, width)
     ids = [F.sort_array(F.collect_list("range_id")).alias("revmap")] if revmap else []
     return found.groupBy(*KEYS, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *ids).drop("island")
 
@@ -37,37 +37,38 @@ def reduce_ranges(x: RangeSet, *, ignore_strand: bool = False, min_gap_width: in
     by sequence and strand; ``revmap`` has the ids merged."""
     flag("ignore_strand", ignore_strand)
     flag("with_revmap", with_revmap)
-    out = merge(_rows(x, ignore_strand), number("min_gap_width", min_gap_width, 0), _width(x), with_revmap)
+    out = merge(x, _rows(x, ignore_strand), number("min_gap_width", min_gap_width, 0), _width(x), with_revmap)
     return _shape(out, x.genomic, *(["revmap"] if with_revmap else []))
 
 
-def _points(sets: list[tuple[DataFrame, str]], keys: list[str]) -> DataFrame:
+def _points(sets: list[tuple[RangeSet, DataFrame, str]], keys: list[str], width: int | None) -> DataFrame:
     """By position, how much the depth of each set changes there (``d_<set>``)."""
-    names = [n for _, n in sets]
-    events = None
-    for rows, name in sets:
-        rows = rows.filter("end >= start")
-        for at, step in ((F.col("start"), 1), (F.col("end") + 1, -1)):
-            e = rows.select(*keys, at.alias("pos"), *(F.lit(step if n == name else 0).alias(f"d_{n}") for n in names))
-            events = e if events is None else events.union(e)
-    return events.groupBy(*keys, "pos").agg(*(F.sum(f"d_{n}").alias(f"d_{n}") for n in names))
-
-
-def depths(sets: list[tuple[DataFrame, str]], keys: list[str], width: int | None) -> DataFrame:
+    rows = None
+    for k, (_, df, _) in enumerate(sets):
+        df = df.filter("end >= start").select(*keys, "start", "end", F.lit(k).alias("of"))
+        rows = df if rows is None else rows.union(df)
+    if not width:
+        rows = spread(rows, keys, [x for x, _, _ in sets])
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("step")))
+    steps = rows.select(*keys, "of", F.explode(ends).alias("e"))
+    return steps.groupBy(*keys, "e.pos").agg(*(F.sum(F.when(F.col("of") == k, F.col("e.step")).otherwise(0)).alias(f"d_{n}") for k, (_, _, n) in enumerate(sets)))
+
+
+def depths(sets: list[tuple[RangeSet, DataFrame, str]], keys: list[str], width: int | None) -> DataFrame:
     """Pieces between neighbouring boundaries with the depth of each set, a column
     a set. Empty ranges cover nothing."""
-    names = [n for _, n in sets]
-    points = _points(sets, keys)
-    specs = [*(Running(n, F.col(f"d_{n}"), "sum") for n in names), Running("after", F.col("pos"), "next")]
-    out = scan(points, keys, [F.col("pos")], specs, "pos", width).filter("after is not null")
-    return out.select(*keys, F.col("pos").alias("start"), (F.col("after") - 1).alias("end"), *names)
+    names = [n for _, _, n in sets]
+    points = _points(sets, keys, width)
+    specs = [*(Running(n, F.col(f"d_{n}"), "sum_before") for n in names), Running("at", F.col("pos"), "previous")]
+    out = scan(points, keys, [F.col("pos")], specs, "pos", width).filter("at is not null")
+    return out.select(*keys, F.col("at").alias("start"), (F.col("pos") - 1).alias("end"), *names)
 
 
 def disjoin(x: RangeSet, *, ignore_strand: bool = False, with_revmap: bool = False) -> DataFrame:
     """The pieces into which the ranges' boundaries cut what they cover."""
     flag("ignore_strand", ignore_strand)
     flag("with_revmap", with_revmap)
-    pieces = depths([(_rows(x, ignore_strand), "depth")], KEYS, _width(x)).filter("depth > 0").select(*KEYS, "start", "end")
+    pieces = depths([(x, _rows(x, ignore_strand), "depth")], KEYS, _width(x)).filter("depth > 0").select(*KEYS, "start", "end")
     if not with_revmap:
         return _shape(pieces, x.genomic)
     whole = x if not ignore_strand else x.derive(_rows(x, True))
@@ -89,7 +90,7 @@ def gaps(x: RangeSet, *, start: int | None = None, end: int | None = None, ignor
     flag("ignore_strand", ignore_strand)
     lo = F.lit(None if start is None else number("start", start, -(1 << 62))).cast("long")
     hi = F.lit(None if end is None else number("end", end, -(1 << 62))).cast("long")
-    covered = merge(_rows(x, ignore_strand).filter("end >= start"), 1, _width(x))
+    covered = merge(x, _rows(x, ignore_strand).filter("end >= start"), 1, _width(x))
     if x.genomic and x.seqinfo is not None:
         strands = F.array(F.lit("*")) if ignore_strand else F.array(*(F.lit(s) for s in ("+", "-", "*")))
         known = x.seqinfo.filter("seqlength is not null").select("seqname", F.explode(strands).alias("strand"), F.col("seqlength").cast("long").alias("length"))
@@ -115,13 +116,13 @@ def _combine(x: RangeSet, y: RangeSet, ignore_strand: bool, keep: str) -> DataFr
     flag("ignore_strand", ignore_strand)
     same_kind(x, y)
     width = _width(x, y)
-    points = _points([(_rows(x, ignore_strand), "in_x"), (_rows(y, ignore_strand), "in_y")], KEYS)
+    points = _points([(x, _rows(x, ignore_strand), "in_x"), (y, _rows(y, ignore_strand), "in_y")], KEYS, width)
     order = [F.col("pos")]
     depth = scan(points, KEYS, order, [Running(n, F.col(f"d_{n}"), "sum") for n in ("in_x", "in_y")], "pos", width)
     kept = scan(depth.select(*KEYS, "pos", F.expr(keep).cast("int").alias("kept")), KEYS, order, [Running("was", F.col("kept"), "previous")], "pos", width)
     turns = kept.filter("kept != coalesce(was, 0)").select(*KEYS, "pos", "kept")
-    out = scan(turns, KEYS, order, [Running("after", F.col("pos"), "next")], "pos", width).filter("kept = 1")
-    return _shape(out.select(*KEYS, F.col("pos").alias("start"), (F.col("after") - 1).alias("end")), x.genomic)
+    out = scan(turns, KEYS, order, [Running("since", F.col("pos"), "previous")], "pos", width).filter("kept = 0")
+    return _shape(out.select(*KEYS, F.col("since").alias("start"), (F.col("pos") - 1).alias("end")), x.genomic)
 
 
 def range_union(x: RangeSet, y: RangeSet, *, ignore_strand: bool = False) -> DataFrame:

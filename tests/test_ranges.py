@@ -435,3 +435,9 @@ def test_weighted_coverage_is_spread_by_rows(spark, monkeypatch):
     want = [sum(r[5] for r in rows if r[1] == "chr1" and r[2] - 10 <= p <= r[3] - 10) for p in range(1, 301)]
     got = {p: r.value for r in rl.coverage(x, shift=-10, width=300, weight="w").filter("seqname = 'chr1'").collect() for p in range(r.start, r.end + 1)}
     assert [got[p] for p in range(1, 301)] == want
+
+
+def test_set_algebra_is_spread_by_rows(spark, monkeypatch):
+    x, y = genomic(spark, draw(63, 120)), genomic(spark, draw(64, 80))
+    for f in (rl.range_intersect, rl.range_union, rl.range_setdiff):
+        _spread(spark, monkeypatch, lambda: f(x, y), 20)  # noqa: B023
