@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions.predicate import Match
 from rangeloom.model import RangeSet, checked, flag, word
-from rangeloom.operators.overlap import count_overlaps, prepare
+from rangeloom.operators.overlap import count_overlaps, countable, prepare, rank_counts
 from rangeloom.plans import binning
 
 FUNCTIONS = ("count", "sum", "mean", "min", "max")
 NULL_GROUP = "<NA>"
+RANKED_GROUPS = 16  # groups up to which dense sets are counted without pairs
 
 
 def _column(subject: RangeSet, name: str, what: str) -> str:
@@ -50,6 +51,11 @@ def count_overlaps_by_group(query: RangeSet, subject: RangeSet, group_col: str,
     out = query.df.select(F.col("range_id").alias("query_id"))
     if not levels:
         return out
+    m = Match(**match)
+    if len(levels) <= RANKED_GROUPS and countable(query, subject, m, 0.25):  # pairs would be shuffled twice more, by group and by query
+        name = F.col(f"`{group_col}`").cast("string")
+        name = F.coalesce(name, F.lit(NULL_GROUP)) if include_na_group else name
+        return rank_counts(query, subject, m, {g: name == g for g in levels})
     wide = counts.groupBy("query_id").pivot("group", levels).agg(F.sum("overlap_count"))
     return out.join(wide, "query_id", "left").select("query_id", *(F.coalesce(F.col(f"`{g.replace('`', '``')}`"), F.lit(0)).alias(g) for g in levels))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rangeloom.functions.predicate import Match
 from rangeloom.model import RangeSet, checked, flag, same_kind, word
 from rangeloom.plans import binning
-from rangeloom.plans.ordered import Running, chunk_width, scan
+from rangeloom.plans.ordered import Running, chunk_width, scan, spread
 from rangeloom.sources.index import SubjectIndex
 
 SELECT = ("all", "first", "last", "arbitrary")
@@ -54,52 +54,56 @@ def find_overlaps(query: RangeSet, subject: RangeSet | SubjectIndex, *, select:
     return found.orderBy("query_id", "subject_id") if deterministic else found
 
 
-def _rank_counts(query: RangeSet, subject: RangeSet, m: Match) -> DataFrame:
-    """Counts of ``any`` matches without pairs, for ranges that aren't empty.
+def rank_counts(query: RangeSet, subject: RangeSet, m: Match, groups: dict[str, Column] | None = None) -> DataFrame:
+    """``query_id`` of every query and its count of ``any`` matches without pairs, for
+    ranges that aren't empty: ``n``, or a column for each of ``groups``, which are
+    conditions on subjects.
 
     A subject matches unless it begins too late or ends too early, and can't do
-    both: the count is a difference of two running counts along the axis.
+    both: the count is a difference of two running counts along the axis, of the
+    begins (lane 0) up to the query's latest and of the ends (lane 1) before its first.
     """
+    groups = {"n": F.lit(True)} if groups is None else groups
+    names = list(groups)
     need = max(m.min_overlap, 1 if m.max_gap < 0 else 0)
-    q, s = query.bare(), subject.bare()
-    if need:
-        q, s = (x.filter(F.col("end") - F.col("start") + 1 >= need) for x in (q, s))
-        late, early = F.col("end") - (need - 1), F.col("start") + (need - 1)
-    else:
-        late, early = F.col("end") + m.max_gap + 1, F.col("start") - m.max_gap - 1
-    null = F.lit(None).cast("long")
-
-    def event(df: DataFrame, position: Column, rank: int, opens: int, closes: int, probe: bool) -> DataFrame:
-        return df.select(
-            "seqname", position.alias("pos"), F.lit(rank).alias("rank"), "strand", F.lit(opens).alias("opens"), F.lit(closes).alias("closes"),
-            F.col("range_id").alias("id") if probe else null.alias("id"),
-        )
-
-    events = (
-        event(s, F.col("start"), 1, 1, 0, False)
-        .union(event(s, F.col("end"), 1, 0, 1, False))
-        .union(event(q, early, 0, 0, 0, True))
-        .union(event(q, late, 2, 0, 0, True))
-    )
-    wide = chunk_width([query, subject], 2)
+    shift = need - 1 if need else -(m.max_gap + 1)
+    wide_enough = F.col("end") - F.col("start") + 1 >= need
+    marks = F.lit(None).cast("array<boolean>")
+    q = query.df.select("seqname", "strand", (F.col("start") + shift).alias("start"), (F.col("end") - shift).alias("end"), F.col("range_id").alias("id"), wide_enough.alias("fits"), marks.alias("of"))
+    s = subject.df.filter(wide_enough).select("seqname", "strand", "start", "end", F.lit(None).cast("long").alias("id"), F.lit(False).alias("fits"), F.array(*(F.coalesce(g, F.lit(False)) for g in groups.values())).alias("of"))
+    rows, wide = q.union(s), chunk_width([query, subject], 2)
+    if not wide:
+        rows = spread(rows, ["seqname"], [query, subject])
+    probe = F.col("id").isNotNull()
+    event = lambda lane, at, rank: F.struct(F.lit(lane).alias("lane"), at.alias("pos"), rank.alias("rank"))
+    begins = event(0, F.when(probe, F.col("end")).otherwise(F.col("start")), F.when(probe, 2).otherwise(1))
+    ends = event(1, F.when(probe, F.col("start")).otherwise(F.col("end")), F.when(probe, 0).otherwise(1))
+    events = rows.withColumn("e", F.explode(F.array(begins, ends))).select("seqname", "strand", "id", "fits", "of", "e.lane", "e.pos", "e.rank")
     classes = {"all": F.lit(True)} if m.ignore_strand or not query.genomic else {"all": F.lit(True), "plus": F.col("strand") != "-", "minus": F.col("strand") != "+"}
-    specs = [Running(f"{c}_{k}", F.when(test, F.col(k)).otherwise(0), "sum") for c, test in classes.items() for k in ("opens", "closes")]
-    run = scan(events, ["seqname"], [F.col("pos"), F.col("rank")], specs, "pos", wide).filter("id is not null")
+    specs = [Running(f"{c}_{k}", F.when(test & F.col("of")[k], 1).otherwise(0), "sum") for c, test in classes.items() for k in range(len(names))]
+    run = scan(events, ["seqname", "lane"], [F.col("pos"), F.col("rank")], specs, "pos", wide).filter("id is not null")
 
-    def of_class(kind: str) -> Column:
+    def of_class(k: int) -> Column:
         if len(classes) == 1:
-            return F.col(f"all_{kind}")
-        return F.when(F.col("strand") == "+", F.col(f"plus_{kind}")).when(F.col("strand") == "-", F.col(f"minus_{kind}")).otherwise(F.col(f"all_{kind}"))
+            return F.col(f"all_{k}")
+        return F.when(F.col("strand") == "+", F.col(f"plus_{k}")).when(F.col("strand") == "-", F.col(f"minus_{k}")).otherwise(F.col(f"all_{k}"))
 
-    signed = F.when(F.col("rank") == 2, of_class("opens")).otherwise(-of_class("closes"))
-    return run.groupBy(F.col("id").alias("query_id")).agg(F.sum(signed).alias("n"))
+    sign = F.when(~F.coalesce("fits", F.lit(False)) | F.col("seqname").isNull(), 0).when(F.col("lane") == 0, 1).otherwise(-1)
+    counts = run.groupBy("seqname", "id").agg(*(F.sum(sign * of_class(k)).alias(f"_n{k}") for k in range(len(names))))
+    return counts.select(F.col("id").alias("query_id"), *(F.col(f"_n{k}").alias(n) for k, n in enumerate(names)))
 
 
-def dense(query: RangeSet, subject: RangeSet) -> bool:
+def countable(query: RangeSet, subject: RangeSet, m: Match, share: float = 1.0) -> bool:
+    """Whether matches can be counted without pairs, and that pays, from a ``share`` of
+    the usual density on."""
+    return m.type == "any" and not query.stats.has_empty and not subject.stats.has_empty and dense(query, subject, share)
+
+
+def dense(query: RangeSet, subject: RangeSet, share: float = 1.0) -> bool:
     """Whether ranges spread evenly would make many matches a range."""
     q, s = query.stats, subject.stats
     span = max(1, max(q.high, s.high) - min(q.low, s.low))
-    return q.n * s.n / max(q.seqs, s.seqs) * min(1.0, (q.width_95 + s.width_95) / span) >= DENSE * (q.n + s.n)
+    return q.n * s.n / max(q.seqs, s.seqs) * min(1.0, (q.width_95 + s.width_95) / span) >= share * DENSE * (q.n + s.n)
 
 
 @checked
@@ -107,10 +111,9 @@ def count_overlaps(query: RangeSet, subject: RangeSet | SubjectIndex, *, threads
     """``(query_id, overlap_count)`` of every query, 0 where nothing matches."""
     subject = prepare(query, subject)
     m = Match(**match)
-    if m.type == "any" and not query.stats.has_empty and not subject.stats.has_empty and dense(query, subject):
-        counts = _rank_counts(query, subject, m)
-    else:
-        counts = hits(query, subject, m).groupBy("query_id").agg(F.count("*").alias("n"))
+    if countable(query, subject, m):
+        return rank_counts(query, subject, m).select("query_id", F.col("n").cast("long").alias("overlap_count"))
+    counts = hits(query, subject, m).groupBy("query_id").agg(F.count("*").alias("n"))
     out = query.df.select(F.col("range_id").alias("query_id")).join(counts, "query_id", "left")
     return out.select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("overlap_count"))
 

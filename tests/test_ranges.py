@@ -441,3 +441,15 @@ def test_set_algebra_is_spread_by_rows(spark, monkeypatch):
     x, y = genomic(spark, draw(63, 120)), genomic(spark, draw(64, 80))
     for f in (rl.range_intersect, rl.range_union, rl.range_setdiff):
         _spread(spark, monkeypatch, lambda: f(x, y), 20)  # noqa: B023
+
+
+def test_group_counts_need_no_pairs_where_dense(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "DENSE", 0)
+    q, rows = draw(65, 120), [(*r, "ab`n"[r[0] % 4] if r[0] % 5 else None) for r in draw(66, 80)]
+    a, b = genomic(spark, q), genomic(spark, rows, ", grp string")
+    _spread(spark, monkeypatch, lambda: rl.count_overlaps_by_group(a, b, "grp", max_gap=2), 20)
+    for options in ({"max_gap": 2}, {"min_overlap": 4}, {"ignore_strand": True}):
+        got = {r[0]: r[1:] for r in map(tuple, rl.count_overlaps_by_group(a, b, "grp", **options).collect())}
+        found = oracle.pairs(q, [r[:5] for r in rows], **options)
+        grp = {r[0]: r[5] for r in rows}
+        assert got == {r[0]: tuple(sum(1 for i, j in found if i == r[0] and grp[j] == g) for g in sorted("ab`n")) for r in q}
