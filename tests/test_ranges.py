@@ -453,3 +453,13 @@ def test_group_counts_need_no_pairs_where_dense(spark, monkeypatch):
         found = oracle.pairs(q, [r[:5] for r in rows], **options)
         grp = {r[0]: r[5] for r in rows}
         assert got == {r[0]: tuple(sum(1 for i, j in found if i == r[0] and grp[j] == g) for g in sorted("ab`n")) for r in q}
+
+
+def test_group_counts_with_a_missing_group_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "DENSE", 0)
+    q, rows = draw(67, 120), [(*r, "ab"[r[0] % 2] if r[0] % 5 else None) for r in draw(68, 80)]
+    a, b = genomic(spark, q), genomic(spark, rows, ", grp string")
+    made = lambda: rl.count_overlaps_by_group(a, b, "grp", include_na_group=True)
+    _spread(spark, monkeypatch, made, 20)
+    grp, found = {r[0]: r[5] for r in rows}, oracle.pairs(q, [r[:5] for r in rows])
+    assert {r[0]: r[1:] for r in map(tuple, made().collect())} == {r[0]: tuple(sum(1 for i, j in found if i == r[0] and grp[j] == g) for g in (None, "a", "b")) for r in q}
