@@ -14,8 +14,8 @@ from rangeloom.plans import binning
 from rangeloom.session import default_threads
 
 BLOCK = 2048
-FORMAT = 2
-ROWS_PER_BUCKET = 2_000_000
+FORMAT = 3
+ROWS_PER_BUCKET = 1_000_000
 _LAYOUT = ("low", "high", "level", "bin", "cell", "own")
 
 
@@ -27,17 +27,16 @@ class SubjectIndex:
     exchanged for a join with it.
     """
 
-    def __init__(self, ranges: RangeSet, size_mb: float | None = None):
-        self.ranges, self.size_mb = ranges, size_mb
+    def __init__(self, ranges: RangeSet, size_mb: float | None = None, kept: DataFrame | None = None):
+        self.ranges, self.size_mb, self.kept = ranges, size_mb, kept
 
     def __repr__(self) -> str:
         s = self.ranges.stats
         return f"SubjectIndex({'genomic' if self.ranges.genomic else 'plain'}, {s.n} ranges, {s.seqs} partitions)"
 
     def unpersist(self) -> None:
-        binned = getattr(self.ranges, "binned", None)
-        if binned is not None:
-            binned[2].unpersist()
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def _grid(ranges: RangeSet) -> binning.Grid:
@@ -47,11 +46,14 @@ def _grid(ranges: RangeSet) -> binning.Grid:
     return binning.Grid.of(width, max(s.width_max, s.high - s.low + 1))
 
 
-def _laid_out(ranges: RangeSet, grid: binning.Grid, every: DataFrame) -> RangeSet:
-    """The same ranges with their layout; the rows at home are part of all rows."""
-    out = ranges.derive(every.filter("own").filter(F.col("bin") == F.floor(F.col("low") / grid.wide(F.col("level")))).select(*(F.col(f"`{c}`") for c in ranges.df.columns)))
+def _laid_out(ranges: RangeSet, grid: binning.Grid, rows: DataFrame) -> RangeSet:
+    """The same ranges with their layout. Rows are at home; queries that are longer than
+    the ranges of a level have those of finer levels lifted when they are asked."""
+    home = binning.unpacked(rows)
+    first = F.col("bin") == F.floor(F.col("low") / grid.wide(F.col("level")))
+    out = ranges.derive(home.filter(first).select(*(F.col(f"`{c}`") for c in ranges.df.columns)))
     out.__dict__["stats"] = ranges.stats
-    out.binned = (grid, every.filter("own"), every)
+    out.binned = (grid, home)
     return out
 
 
@@ -61,11 +63,10 @@ def build_index(subject: RangeSet) -> SubjectIndex:
         raise TypeError("subject must be a RangeSet")
     subject.check_circular("subject")
     grid = _grid(subject)
-    _, every = binning.by_bin(subject, grid)
     n = max(default_threads(subject.df.sparkSession), -(-subject.stats.n // ROWS_PER_BUCKET))
-    every = every.repartition(n, *binning.HOME).sortWithinPartitions(*binning.HOME).persist(StorageLevel.MEMORY_AND_DISK)
-    every.count()
-    return SubjectIndex(_laid_out(subject, grid, every))
+    rows = binning.by_bin(subject, grid).repartition(n, *binning.HOME).sortWithinPartitions(*binning.HOME).persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+    return SubjectIndex(_laid_out(subject, grid, rows), kept=rows)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -84,7 +85,7 @@ def save_index(index: SubjectIndex, path: str, *, compress: bool = True) -> str:
     if p.getParent() is not None and not fs.exists(p.getParent()):
         raise FileNotFoundError(f"the folder of {path} does not exist")
     grid = rs.binned[0] if hasattr(rs, "binned") else _grid(rs)
-    _, every = binning.by_bin(rs, grid)
+    every = binning.by_bin(rs, grid)
     n = max(default_threads(spark), -(-rs.stats.n // ROWS_PER_BUCKET))
     fs.delete(p, True)
     name = f"rangeloom_{uuid.uuid4().hex}"
@@ -121,6 +122,9 @@ def load_index(spark: SparkSession, path: str) -> SubjectIndex:
         where = path.replace("'", "\\'")
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{place}`) SORTED BY (`{place}`) INTO {meta['buckets']} BUCKETS LOCATION '{where}/ranges'")
         df = spark.table(name)
+        if "own" in df.columns:  # format 2 had rows lifted to coarser levels too
+            df = df.filter("own")
+        df = df.drop(*(c for c in _LAYOUT if c != "cell"))
     rs = RangeSet(plain if meta["genomic"] else plain.drop("seqname", "strand"), meta["genomic"], seqinfo)
     if meta.get("stats"):
         figures = meta["stats"] | {"sizes": tuple(meta["stats"]["sizes"]) if meta["stats"].get("sizes") is not None else None}

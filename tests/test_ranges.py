@@ -463,3 +463,16 @@ def test_group_counts_with_a_missing_group_need_no_pairs(spark, monkeypatch):
     _spread(spark, monkeypatch, made, 20)
     grp, found = {r[0]: r[5] for r in rows}, oracle.pairs(q, [r[:5] for r in rows])
     assert {r[0]: r[1:] for r in map(tuple, made().collect())} == {r[0]: tuple(sum(1 for i, j in found if i == r[0] and grp[j] == g) for g in (None, "a", "b")) for r in q}
+
+
+def test_an_index_holds_rows_at_home_only(spark, tmp_path):
+    """Long queries lift short subjects when they are asked, not when it is built."""
+    s = [(i, "chr1", 50 * i, 50 * i + 3, "*") for i in range(1, 301)]
+    q = [(1, "chr1", 40, 14_000, "*"), (2, "chr1", 100, 101, "+"), (3, "chr1", 600, 2500, "-"), (4, "chr2", 1, 9000, "*")]
+    index = rl.build_index(genomic(spark, s))
+    rows = index.ranges.binned[-1]
+    assert index.ranges.binned[0].levels > 1 and rows.count() < 2 * len(s) and "own" not in rows.columns
+    loaded = rl.load_index(spark, rl.save_index(index, str(tmp_path / "index")))
+    for i in (index, loaded):
+        assert got_pairs(rl.find_overlaps(genomic(spark, q), i)) == oracle.pairs(q, s)
+    index.unpersist()
